@@ -99,3 +99,22 @@ def query(name: str, oracle: str | None = None, uses: tuple[str, ...] = ()):
         return fn
 
     return wrap
+
+
+def derived_view(name: str, sql: str, *deps: str, spark_names: dict[str, str] | None = None) -> None:
+    """A view over other views with one text for both engines.
+
+    ``sha256(x)`` is spelled ``sha2(x, 256)`` for Spark; ``spark_names`` maps a
+    view name in the text to the Spark view that provides it.
+    """
+    import re
+
+    spark_names = spark_names or {}
+    spark_text = re.sub(r"sha256\(([^()]*)\)", r"sha2(\1, 256)", sql)
+
+    def build(inputs: Inputs) -> DataFrame:
+        frames = {d: inputs.v(spark_names.get(d, d)) for d in deps}
+        return inputs.spark.sql(_braced(spark_text, deps), **frames)
+
+    VIEWS[name] = build
+    CTES[name] = (sql, deps)
