@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tourlog.functions import dims
 
 FLOAT_TEXT = r"^\s*[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?\s*$"
-CLOCK_TEXT = r"^([0-9]{1,2})[:：]([0-9]{2})$"
+CLOCK_TEXT = "^[0-9]{1,2}:[0-9]{2}$"
 NUMBER_TEXT = r"[-+]?[0-9][0-9,]*(\.[0-9]+)?"
 
 
@@ -22,9 +22,16 @@ def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+# fixed values: the characters that count as white space at the ends of a text
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def trimmed(c: Column) -> Column:
-    """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text(c), r"^\s+|\s+$", "")
+    """Trim every kind of white space, not only blanks (no regex involved)."""
+    return F.trim(text(c), F.lit(WHITE_SPACE))
 
 
 def blank(c: Column) -> Column:
@@ -40,7 +47,7 @@ def pick(*cols: Column) -> Column:
 
 
 def float_or_null(c: Column) -> Column:
-    plain = F.regexp_replace(text(c), ",", "")
+    plain = F.translate(text(c), ",", "")
     return F.when(plain.rlike(FLOAT_TEXT), F.trim(plain).try_cast("double"))
 
 
@@ -56,7 +63,7 @@ def trim_number(c: Column) -> Column:
 def normalize_number(value: Column, label: Column) -> Column:
     """struct(value, warning): plain numbers pass, known units are dropped."""
     raw = trimmed(value)
-    plain = F.regexp_replace(raw, ",", "")
+    plain = F.translate(raw, ",", "")
     number = F.regexp_extract(raw, NUMBER_TEXT, 0)
     at = F.instr(raw, number)
     rest = F.concat(F.substr(raw, F.lit(1), at - 1), F.lit(" "), F.substr(raw, at + F.length(number)))
@@ -123,9 +130,9 @@ def normalize_date(value: Column, label: Column, as_of: str) -> Column:
 
 
 def clock_minutes(value: Column) -> Column:
-    raw = trimmed(value)
-    hour = F.regexp_extract(raw, CLOCK_TEXT, 1).try_cast("int")
-    minute = F.regexp_extract(raw, CLOCK_TEXT, 2).try_cast("int")
+    raw = F.translate(trimmed(value), "：", ":")
+    hour = F.substring_index(raw, ":", 1).try_cast("int")
+    minute = F.right(raw, F.lit(2)).try_cast("int")
     legal = ((hour == 24) & (minute == 0)) | ((hour <= 23) & (minute <= 59))
     return F.when(raw.rlike(CLOCK_TEXT) & legal, hour * 60 + minute)
 
@@ -142,7 +149,7 @@ def normalize_time(value: Column, label: Column) -> Column:
 
 
 def clock_hours(start: Column, end: Column, hours: Column) -> Column:
-    """Length of one operation by its clock times, in hours.
+    """Length of one operation in hours, from its start and end minutes.
 
     Read row by row a report's clock runs on over midnight: each start is moved
     by whole days past the previous end, and the end past its start.  The days
@@ -151,12 +158,9 @@ def clock_hours(start: Column, end: Column, hours: Column) -> Column:
     one day, an earlier end wraps once, and equal times mean a full day only
     when at least 23.9 hours are reported.
     """
-    begin, finish = clock_minutes(start), clock_minutes(end)
-    span = finish - begin % 1440
-    wrapped = F.when(span < 0, span + 1440).otherwise(span)
-    return (
-        F.when((wrapped == 0) & (safe_float(hours) >= 23.9), F.lit(1440)).otherwise(wrapped) / 60
-    )
+    span = end - start % 1440
+    wraps = (span < 0) | ((span == 0) & (hours >= 23.9))
+    return (span + wraps.cast("int") * 1440) / 60
 
 
 def date_from_slashes(value: Column, day_first: bool) -> Column:
