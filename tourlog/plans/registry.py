@@ -12,7 +12,7 @@ TABLES = (
 ).split()
 
 QUERIES: dict[str, Callable[["Inputs"], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, tuple[str, tuple[str, ...]]] = {}
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {}
 VIEWS: dict[str, Callable[["Inputs"], DataFrame]] = {}
 
@@ -95,7 +95,7 @@ def query(name: str, oracle: str | None = None, uses: tuple[str, ...] = ()):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if oracle is not None:
-            ORACLES[name] = compose(oracle, uses)
+            ORACLES[name] = (oracle, uses)
         return fn
 
     return wrap
