@@ -68,3 +68,26 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, name:
     """
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+
+
+def carry_forward(
+    df: DataFrame, keys: list[str], order: str, value: Column, name: str, block: int = 4096, ties: list[str] | None = None
+) -> DataFrame:
+    """Latest non-null ``value`` at or before each row, by a numeric ``order``.
+
+    Rows are handled in blocks of the order axis; the last value of each block
+    is handed to the next one through a table with one row per block, so a
+    long key is shared by many tasks.
+    """
+    rows = df.withColumn("_value", value).withColumn("_block", F.floor(F.col(order) / block))
+    grain = [*keys, "_block"]
+    sort = [order, *(ties or [])]
+    inside = W.partitionBy(*grain).orderBy(*sort).rowsBetween(W.unboundedPreceding, 0)
+    ends = rows.groupBy(*grain).agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*sort))).alias("_end"))
+    earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    handed = ends.select(*grain, F.last("_end", ignorenulls=True).over(earlier).alias("_handed"))
+    return (
+        rows.join(handed, grain)
+        .withColumn(name, F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_handed")))
+        .drop("_value", "_block", "_handed")
+    )

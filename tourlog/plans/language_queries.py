@@ -128,7 +128,7 @@ shared_view(
     "term_candidates",
     f"""
 select item_id as cand_id, case item_id % 4 when 0 then '' when 1 then '别名' else concat('术语', cast(item_id % 33 as string)) end as zh,
-  case when item_id % 5 = 0 then concat('new ', {_W.format(n=5)}) else upper(concat({_W.format(n=1)}, '  ', {_W.format(n=2)})) end as en,
+  case when item_id % 5 = 0 then concat('new ', {_W.format(n=5)}) else lower(concat({_W.format(n=1)}, '  ', {_W.format(n=2)})) end as en,
   case when item_id % 3 = 0 then '' else {_W.format(n=3)} end as es
 from benchmark
 """,
