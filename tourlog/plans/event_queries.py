@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tourlog.functions import scalars as S
 from tourlog.operators import logs as LG
 from tourlog.operators import ordering
-from tourlog.operators import production as P
 from tourlog.operators import terms as TM
 from tourlog.plans.fixtures import CONTRACTOR
 from tourlog.plans.registry import cte, query, view
@@ -94,7 +93,6 @@ _STATE = """
 select user_id, event_type, generation from job_events
 qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1
 """
-_FRESH = "select event_id, user_id, generation from job_events e where generation >= (select max(generation) from job_events m where m.user_id = e.user_id and event_type = 'error')"
 _FRESH = """
 select e.event_id, e.user_id, e.generation from job_events e
 left join (select user_id, max(generation) as g from job_events where event_type = 'error' group by user_id) c on c.user_id = e.user_id
@@ -243,16 +241,13 @@ def json_payload_source(i):
     """Reports written as JSON texts and shredded back into detail rows."""
     pages = PL.payload_pages(i.v("headers").select("record_id", "fields"), i.v("report_rows"))
     meta = F.create_map(F.lit("record_id"), F.col("record_id"), F.lit("report_type"), F.lit("move"))
-    numbered = {m: F.transform(F.coalesce(F.try_element_at("modules", F.lit(m)), F.array().cast("array<map<string,string>>")), lambda r: r) for m in ("operations", "bulks")}
-    texts = pages.select(F.to_json(F.struct(meta.alias("metadata"), F.col("fields").alias("report_fields"), *[c.alias(m) for m, c in numbered.items()])).alias("text"))
+    modules = [F.try_element_at("modules", F.lit(m)).alias(m) for m in ("operations", "bulks")]
+    texts = pages.select(F.to_json(F.struct(meta.alias("metadata"), F.col("fields").alias("report_fields"), *modules)).alias("text"))
     _, _, rows = PL.shred(PL.parse_payloads(texts, "text"))
-    # places inside a module differ from the report-wide row number, so rows are
-    # told apart by content here
-    own = i.v("report_rows").select("record_id", "module_name", "row_no", F.col("row")["operation_details"].alias("operation_details"))
-    places = rows.select("record_id", "module_name", F.col("row_no").alias("place"), S.safe_float(F.col("row")["hours"]).alias("h"), F.col("row")["operation_details"].alias("operation_details"))
-    rank = F.expr("count(*) over (partition by record_id, module_name, operation_details, h)")
-    del rank
-    return places.join(own, ["record_id", "module_name", "operation_details"]).groupBy("record_id", "module_name", "row_no", "operation_details").agg(F.first("h").alias("h"))
+    row = F.col("row")
+    return rows.select(
+        "record_id", "module_name", "row_no", S.safe_float(row["hours"]).alias("h"), row["operation_details"].alias("operation_details")
+    )
 
 
 @query(
@@ -469,6 +464,3 @@ def row_grouping(i):
 def top_wells(i):
     hours = i.v("facts").filter("n_ops > 0").groupBy("wellbore").agg(F.sum("total_h").alias("hours"))
     return hours.orderBy(F.desc("hours"), "wellbore").limit(10)
-
-
-_ = P
