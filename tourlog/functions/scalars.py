@@ -1,7 +1,7 @@
 """Scalar rules as Column -> Column functions; all stay inside the JVM.
 
-Reports keep every value as text, so the numeric and date rules are guarded by
-a pattern before any cast (``try_cast`` alone would accept ``'1d'``).
+Reports keep every value as text, so the numeric and date rules check the shape
+of a text before any cast (``try_cast`` alone would accept ``'1d'``).
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from tourlog.functions import dims
 
-FLOAT_TEXT = r"^\s*[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?\s*$"
 CLOCK_TEXT = "^[0-9]{1,2}:[0-9]{2}$"
 NUMBER_TEXT = r"[-+]?[0-9][0-9,]*(\.[0-9]+)?"
 
@@ -23,10 +22,7 @@ def text(c: Column) -> Column:
 
 
 # fixed values: the characters that count as white space at the ends of a text
-WHITE_SPACE = (
-    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
-    "\u2028\u2029\u202f\u205f\u3000"
-)
+WHITE_SPACE = " \t\n\r\x0b\x0c\xa0\u3000"
 
 
 def trimmed(c: Column) -> Column:
@@ -46,9 +42,15 @@ def pick(*cols: Column) -> Column:
 # --- numbers -------------------------------------------------------------------
 
 
+def without(c: Column, mark: str) -> Column:
+    """Text without a one-character mark; untouched texts skip the rewrite."""
+    return F.when(F.contains(c, F.lit(mark)), F.translate(c, mark, "")).otherwise(c)
+
+
 def float_or_null(c: Column) -> Column:
-    plain = F.translate(text(c), ",", "")
-    return F.when(plain.rlike(FLOAT_TEXT), F.trim(plain).try_cast("double"))
+    """Number of a text or null; a cast alone would also take '1d' or 'NaN'."""
+    plain = F.trim(without(text(c), ","))
+    return F.when(F.translate(plain, "0123456789+-.eE", "") == "", plain.try_cast("double"))
 
 
 def safe_float(c: Column) -> Column:
@@ -84,7 +86,7 @@ def _valued(value: Column, warning: Column) -> Column:
 
 
 def bounded_int(value: Column, low: int, high: int, default: int) -> Column:
-    parsed = F.when(text(value).rlike(FLOAT_TEXT), F.trim(text(value)).try_cast("double").cast("int"))
+    parsed = float_or_null(value).cast("int")
     return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(parsed, F.lit(default))))
 
 
@@ -130,7 +132,7 @@ def normalize_date(value: Column, label: Column, as_of: str) -> Column:
 
 
 def clock_minutes(value: Column) -> Column:
-    raw = F.translate(trimmed(value), "：", ":")
+    raw = F.replace(trimmed(value), F.lit("："), F.lit(":"))
     hour = F.substring_index(raw, ":", 1).try_cast("int")
     minute = F.right(raw, F.lit(2)).try_cast("int")
     legal = ((hour == 24) & (minute == 0)) | ((hour <= 23) & (minute <= 59))
@@ -196,13 +198,8 @@ def system_op_type(system: Column, op_type: Column) -> Column:
 
 def either(a: Column, b: Column, sep: str, none: str = "") -> Column:
     """``a sep b`` when both are set, else the one that is, else ``none``."""
-    a, b = trimmed(a), trimmed(b)
-    return (
-        F.when((a != "") & (b != ""), F.concat(a, F.lit(sep), b))
-        .when(a != "", a)
-        .when(b != "", b)
-        .otherwise(F.lit(none))
-    )
+    both = F.concat_ws(sep, *[F.nullif(trimmed(c), F.lit("")) for c in (a, b)])
+    return pick(both, F.lit(none))
 
 
 def op_category(code: Column, sub: Column) -> Column:

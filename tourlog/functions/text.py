@@ -19,6 +19,11 @@ def _chain(c: Column, steps: list[tuple[str, str]]) -> Column:
     return reduce(lambda acc, step: F.regexp_replace(acc, step[0], step[1]), steps, c)
 
 
+def let(c: Column, body) -> Column:
+    """``body`` applied to a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 def inline(c: Column) -> Column:
     """Collapse horizontal space, keep line breaks."""
     return S.trimmed(F.regexp_replace(S.text(c), r"[ \t\f\x0B]+", " "))
@@ -39,19 +44,24 @@ def repair_ocr(c: Column) -> Column:
     spaced thousands.  Anything ambiguous stays as it is."""
     inch = '(?:IN\\b|["”″])'
     verbs = "|".join(dims.OCR_VERBS)
-    steps = [
-        (r"\r\n?", "\n"),
-        (rf"(?i)\b({verbs})([0-9]{{4,}})(?![A-Za-z0-9_])", "$1 $2"),
+    glued = [(rf"(?i)\b({verbs})([0-9]{{4,}})(?![A-Za-z0-9_])", "$1 $2")]
+    thousands = [(r"(?<![0-9,])([0-9]{1,3}),[ \t]+(?=[0-9]{3}(?:[^0-9]|$))", "$1,")]
+    inches = [
         (rf"(?i)(?<![0-9])([0-9]{{1,2}})[ \t]*\n[ \t]*([0-9])/([0-9])(?=[ \t]*{inch})", "$1 $2/$3"),
         (rf"(?i)(?<![0-9.])([0-9]{{1,2}})\.([0-9])/([0-9])(?=[ \t]*{inch})", "$1 $2/$3"),
         (rf"(?i)(?<![0-9])([0-9]{{1,2}})[ \t]+([0-9])([0-9])[ \t]*/[ \t]*(?={inch})", "$1 $2/$3"),
     ]
     for symbol, fraction in dims.UNICODE_FRACTIONS.items():
-        steps.append((rf"(?i)(?<![0-9])([0-9]{{1,2}})[ \t]*{symbol}(?=[ \t]*{inch})", f"$1 {fraction}"))
-    steps.append((r"(?<![0-9,])([0-9]{1,3}),[ \t]+(?=[0-9]{3}(?:[^0-9]|$))", "$1,"))
-    lines = _chain(S.text(c), steps[:1])
-    # every repair needs a digit, so prose without one skips the chain
-    return F.when(S.text(c).rlike("[0-9]"), _chain(S.text(c), steps)).otherwise(lines)
+        inches.append((rf"(?i)(?<![0-9])([0-9]{{1,2}})[ \t]*{symbol}(?=[ \t]*{inch})", f"$1 {fraction}"))
+
+    # most texts have no digit, and most others no inch mark: they skip the chain
+    def with_inches(t):
+        return F.when(t.rlike(f"(?i){inch}"), _chain(t, inches)).otherwise(t)
+
+    def with_digits(t):
+        return F.when(t.rlike("[0-9]"), _chain(let(_chain(t, glued), with_inches), thousands)).otherwise(t)
+
+    return let(F.regexp_replace(S.text(c), r"\r\n?", "\n"), with_digits)
 
 
 def clean_source(df: DataFrame, column: str, out: str, furniture: tuple[str, ...] = ()) -> DataFrame:
@@ -134,23 +144,28 @@ DEPTH_MARK = r"\s*(?:['’′]|ft\b|feet\b|pies\b|m\b|md\b|tvd\b)"
 def _number_forms(c: Column) -> Column:
     """Rewrite the accepted spellings of a number to one form each."""
     inch = '(?:IN\\b|英寸|["”])'
-    steps = [
-        # verb glued to a long number
-        (f"([{dims.LATIN_CLASS}]{{5,}})([0-9]{{4,}})(?![A-Za-z0-9_])", "$1 $2"),
+    glued = (f"([{dims.LATIN_CLASS}]{{5,}})([0-9]{{4,}})(?![A-Za-z0-9_])", "$1 $2")
+    mixed = [
         # 9 58/IN and 9 58 IN are 9 5/8
         (rf"(?i){_FREE}([0-9]+)\s+([0-9])([0-9])/?(?=\s*{inch})", "$1#$2/$3"),
         # 12-1/4, 12.1/4, 12 1/4
         (rf"{_FREE}([0-9]+)(?:\s+|-\s*|\.)([0-9]+/[0-9]+)", "$1#$2"),
     ]
-    for symbol, fraction in dims.UNICODE_FRACTIONS.items():
-        steps.append((rf"{_FREE}([0-9]+)\s*{symbol}", f"$1#{fraction}"))
+    symbols = [(rf"{_FREE}([0-9]+)\s*{symbol}", f"$1#{fraction}") for symbol, fraction in dims.UNICODE_FRACTIONS.items()]
     # thousands: at most four groups, each step removes one separator
     thousand = rf"{_FREE}([0-9]{{1,3}}(?:[0-9]{{3}})*),\s*([0-9]{{3}})(?=(?:,\s*[0-9]{{3}})*(?![0-9]))"
-    steps += [(thousand, "$1$2")] * 4
-    steps.append((rf"(?i){_FREE}([0-9]{{1,3}})\.([0-9]{{3}})(?={DEPTH_MARK})", "$1$2"))
-    # decimal comma with one or two digits
-    steps.append((rf"{_FREE}([0-9]+),([0-9]{{1,2}})(?![0-9,./])", "$1.$2"))
-    return _chain(S.text(c), steps)
+    # a comma with one or two digits is a decimal comma
+    commas = [(thousand, "$1$2")] * 4 + [(rf"{_FREE}([0-9]+),([0-9]{{1,2}})(?![0-9,./])", "$1.$2")]
+    depths = (rf"(?i){_FREE}([0-9]{{1,3}})\.([0-9]{{3}})(?={DEPTH_MARK})", "$1$2")
+
+    def gated(c, pattern, steps):
+        return let(c, lambda t: F.when(t.rlike(pattern), _chain(t, steps)).otherwise(t))
+
+    out = gated(S.text(c), f"[{dims.LATIN_CLASS}]{{5}}[0-9]{{4}}", [glued])
+    out = gated(out, f"(?i)/|[0-9]\\s*{inch}", mixed)
+    out = gated(out, f"[{''.join(dims.UNICODE_FRACTIONS)}]", symbols)
+    out = gated(out, "[0-9]\\.[0-9]{3}", [depths])
+    return gated(out, "[0-9],", commas)
 
 
 def number_tokens(c: Column) -> Column:

@@ -116,15 +116,15 @@ def memory_search(memory: DataFrame, query: str = "", report_type: str = "", lim
 
 def unchanged_error(source: Column, translated: Column) -> Column:
     """'' or why a translation cannot be accepted as one."""
-    s, t = X.multiline(source), X.multiline(translated)
-    natural = [F.lower(X.paragraph(F.regexp_replace(c, X.PLACEHOLDER, ""))) for c in (s, t)]
-    same = (natural[0] == natural[1]) | ((F.length(natural[0]) >= 20) & F.contains(natural[1], natural[0]))
-    return (
-        F.when(t == "", "missing translated_text")
-        .when(natural[0] == "", "")
-        .when(same, "source text was returned unchanged")
-        .otherwise("")
-    )
+    fold = lambda c: F.lower(X.paragraph(F.regexp_replace(S.text(c), X.PLACEHOLDER, "")))
+
+    def judge(pair):
+        s, t = pair["s"], pair["t"]
+        same = (s == t) | ((F.length(s) >= 20) & F.contains(t, s))
+        return F.when(s == "", "").when(same, "source text was returned unchanged").otherwise("")
+
+    compared = X.let(F.struct(fold(source).alias("s"), fold(translated).alias("t")), judge)
+    return F.when(S.blank(translated), "missing translated_text").otherwise(compared)
 
 
 def translation_plan(units: DataFrame, memory: DataFrame, target: str, furniture: tuple[str, ...] = ()) -> DataFrame:

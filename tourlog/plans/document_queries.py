@@ -1,4 +1,8 @@
-"""Lines, words and cells of report documents, laid out from the given tables."""
+"""Lines, words and cells of report documents, laid out from the given tables.
+
+Readers of documents store these tables; here they are written once per query
+to the shared folder, as the parsers scan them several times.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tourlog.operators import documents as D
 from tourlog.plans.registry import query, view
+from tourlog.session import materialise
 
 SPECS = {"event": ("Event",), "reportNo": ("Report No",), "well": ("Well Name", "Well"), "rig": ("Rig",), "fecha": ("Fecha",)}
 
@@ -35,7 +40,7 @@ def cells(i):
     more = F.when(c("l_suppkey") % 5 == 0, F.concat(lit("more "), c("l_partkey").cast("string"))).otherwise(lit(""))
     body.append(F.struct((row + 1).alias("row"), lit(6).alias("col"), more.alias("value")))
     rows = i.v("numbered_operations").select(F.col("rk").alias("doc"), F.inline(F.array(*body)))
-    return heads.unionByName(rows).withColumn("sheet", F.lit("s"))
+    return materialise(heads.unionByName(rows).withColumn("sheet", F.lit("s")), "cells")
 
 
 @query(
@@ -145,7 +150,7 @@ def lines(i):
     both = F.array(F.struct(row.alias("line_no"), opening.alias("line")), F.struct((row + 1).alias("line_no"), more.alias("line")))
     ops = i.v("numbered_operations").select(c("rk").alias("doc"), F.inline(both))
     tail = i.v("report_base").select(c("rk").alias("doc"), lit(90000).alias("line_no"), lit("Safety Incident? N").alias("line"))
-    return heads.unionByName(ops).unionByName(tail).withColumn("page", F.lit(1))
+    return materialise(heads.unionByName(ops).unionByName(tail).withColumn("page", F.lit(1)), "lines")
 
 
 @query(
@@ -247,7 +252,7 @@ def words(i):
         word(c("l_partkey").cast("string"), 240, top), word(lit("more"), 215, top + 10), word(c("l_suppkey").cast("string"), 250, top + 10),
     ]
     rows = i.v("numbered_operations").select(c("rk").alias("doc"), F.inline(F.array(*row)))
-    return heads.unionByName(rows).withColumn("page", lit(1)).withColumn("page_height", lit(2000.0))
+    return materialise(heads.unionByName(rows).withColumn("page", lit(1)).withColumn("page_height", lit(2000.0)), "words")
 
 
 @query(

@@ -77,9 +77,7 @@ from orders
     "orders",
 )
 
-shared_view(
-    "operation_base",
-    """
+OPERATION_SQL = """
 select l_orderkey as rk, concat('R', cast(l_orderkey as string)) as record_id,
   l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
   case when l_partkey % 89 = 0 then 'n/a' else cast(l_quantity / 4 as string) end as hours,
@@ -102,9 +100,8 @@ select l_orderkey as rk, concat('R', cast(l_orderkey as string)) as record_id,
     case l_suppkey % 7 when 0 then ' falla de bomba SPERRY' when 1 then ' NPT A CARGO DE VENDOR ONE; espera'
       when 2 then ' washout loss SLB' when 3 then ' Responsible party: DRILLCO during trip' else '' end) as operation_details
 from lineitem
-""",
-    "lineitem",
-)
+"""
+shared_view("operation_base", OPERATION_SQL, "lineitem")
 
 shared_view(
     "project_rigs",
@@ -156,9 +153,8 @@ from report_base
 )
 
 
-@view("operations")
-def operations(inputs) -> DataFrame:
-    return inputs.v("operation_base").select(
+def _enriched(base: DataFrame) -> DataFrame:
+    return base.select(
         "*",
         S.effective_op_type(F.col("confirmed_op_type"), F.col("op_type"), F.col("system_op_type")).alias("eff_type"),
         S.system_op_type(F.col("system_op_type"), F.col("op_type")).alias("sys_type"),
@@ -167,16 +163,28 @@ def operations(inputs) -> DataFrame:
     )
 
 
+@view("operations")
+def operations(inputs) -> DataFrame:
+    return _enriched(inputs.v("operation_base"))
+
+
 OPERATION_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
 @view("numbered_operations")
 def numbered_operations(inputs) -> DataFrame:
-    """Operations with the dense row number they have inside their report."""
-    ops = inputs.v("operations").withColumn("slice", F.floor(F.col("l_partkey") / 512))
-    return ordering.number_rows(
-        ops, keys=["rk"], slices=["l_linenumber", "slice"], order=list(OPERATION_ORDER), name="row_no"
+    """Operations with the dense row number they have inside their report.
+
+    The raw numeric rows are numbered first; the texts are derived after that
+    shuffle, so they neither travel nor get built before the rows are spread.
+    """
+    raw = inputs.t("lineitem").select("l_orderkey", "l_returnflag", *OPERATION_ORDER)
+    sliced = raw.withColumn("slice", F.floor(F.col("l_partkey") / 512))
+    numbered = ordering.number_rows(
+        sliced, keys=["l_orderkey"], slices=["l_linenumber", "slice"], order=list(OPERATION_ORDER), name="row_no"
     ).drop("slice")
+    text = OPERATION_SQL.replace("select l_orderkey as rk", "select row_no, l_orderkey as rk").replace("from lineitem", "from {rows}")
+    return _enriched(inputs.spark.sql(text, rows=numbered))
 
 
 cte(

@@ -258,6 +258,7 @@ select o_orderkey as unit_id, o_custkey, o_orderpriority, o_orderkey % 6 as vari
 from orders
 """,
     "orders",
+    spread_out=True,
 )
 cte(
     "number_diff",

@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tourlog.session import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
+# tables of long texts, whose rules are bound by CPU rather than by reading
+TEXT_TABLES = ("documents", "conversations")
+
 QUERIES: dict[str, Callable[["Inputs"], DataFrame]] = {}
 ORACLES: dict[str, tuple[str, tuple[str, ...]]] = {}
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {}
@@ -31,7 +36,8 @@ class Inputs:
         self._built: dict[str, DataFrame] = {}
 
     def t(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(table) if name in TEXT_TABLES else table
 
     def v(self, name: str) -> DataFrame:
         if name not in self._built:
@@ -60,9 +66,9 @@ def view(name: str):
     return wrap
 
 
-def shared_view(name: str, sql: str, *tables: str) -> None:
+def shared_view(name: str, sql: str, *tables: str, spread_out: bool = False) -> None:
     """A view whose text is valid in both Spark SQL and the check engine."""
-    VIEWS[name] = lambda inputs: inputs.sql(sql, *tables)
+    VIEWS[name] = lambda inputs: spread(inputs.sql(sql, *tables)) if spread_out else inputs.sql(sql, *tables)
     CTES[name] = (sql, ())
 
 

@@ -20,6 +20,8 @@ def build_session(app: str = "tourlog", cores: str = "8", memory: str = "8g") ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # wide projections compile to methods above the size HotSpot compiles by default
+        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -47,3 +49,13 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share a few unsplittable files among all cores before text-heavy work.
+
+    Input that already comes in at least as many partitions as there are cores
+    (any large table) is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
