@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tourlog.functions import scalars as S
 from tourlog.functions import text as X
 from tourlog.operators import ordering
+from tourlog.session import materialise
 
 NUM = r"[-+]?[0-9][0-9,]*(?:\.[0-9]+)?"
 
@@ -424,25 +425,28 @@ def grid_table(cells: DataFrame, spec: GridTable) -> DataFrame:
     """
     sheet = ["doc", "sheet"]
     grid = cells.filter(~S.blank(F.col("value"))).withColumn("norm", label_text(F.col("value"))).filter("norm <> ''")
-    matched = F.array_compact(
-        F.array(
-            *[
-                F.when(reduce(lambda p, q: p | q, [F.contains("norm", F.lit(a)) for a in aliases]), F.struct(F.lit(i).alias("o"), F.lit(n).alias("name")))
-                for i, (n, aliases) in enumerate(spec.headers)
-            ]
-        )
-    )
-    hits = grid.select(*sheet, "row", "col", F.inline(matched))
-    firsts = hits.groupBy(*sheet, "row", "o", "name").agg(F.min("col").alias("col"))
-    unique = firsts.groupBy(*sheet, "row", "col").agg(F.min_by("name", "o").alias("name"))
-    heads = unique.groupBy(*sheet, "row").agg(F.array_sort(F.collect_list(F.struct("col", "name"))).alias("columns"))
-    heads = heads.filter(F.size("columns") >= spec.min_hits).withColumnRenamed("row", "header_row")
+    # one record per sheet row (a row has few columns), written once and read by
+    # the header search, the end search and the slicing
+    lines = materialise(
+        grid.groupBy(*sheet, "row").agg(F.array_sort(F.collect_list(F.struct("col", "value", "norm"))).alias("cells")), "grid"
+    ).withColumn("line", F.array_join(F.col("cells.norm"), " "))
+
+    def first_column(i, name, aliases):
+        hit = F.filter("cells", lambda c: reduce(lambda p, q: p | q, [F.contains(c["norm"], F.lit(a)) for a in aliases]))
+        col = F.get(hit, F.lit(0))["col"]
+        return F.when(col.isNotNull(), F.struct(col.alias("col"), F.lit(i).alias("o"), F.lit(name).alias("name")))
+
+    found = F.array_compact(F.array(*[first_column(i, n, aliases) for i, (n, aliases) in enumerate(spec.headers)]))
+    heads = lines.withColumn("_found", found)
+    # a column already taken by an earlier header is not shared
+    own = F.filter("_found", lambda c: ~F.exists("_found", lambda d: (d["col"] == c["col"]) & (d["o"] < c["o"])))
+    heads = heads.filter(F.size("_found") >= spec.min_hits)
+    heads = heads.select(*sheet, F.col("row").alias("header_row"), F.array_sort(own).alias("columns"))
+    heads = materialise(heads, "headers").filter(F.size("columns") >= spec.min_hits)
     # bounds of each table: a stop marker, or three rows without text
-    cells_of_row = F.array_sort(F.collect_list(F.struct("col", "norm")))
-    rows = grid.groupBy(*sheet, "row").agg(F.array_join(cells_of_row.getField("norm"), " ").alias("line"))
     own_words = " ".join(_norm(a) for _, aliases in spec.headers for a in aliases)
     sections = [s for s in SECTION_TITLES if s not in own_words]
-    rows = rows.select(*sheet, "row", (any_marker(F.col("line"), spec.stops) | F.col("line").isin(*sections)).alias("stop"))
+    rows = lines.select(*sheet, "row", (any_marker(F.col("line"), spec.stops) | F.col("line").isin(*sections)).alias("stop"))
     blank3 = rows.select(*sheet, F.col("row").alias("_at"), F.explode(F.array(*[F.col("row") + k for k in (1, 2, 3)])).alias("row"))
     alive = blank3.join(rows.select(*sheet, "row"), [*sheet, "row"], "left_semi").select(*sheet, "_at").distinct()
     ends = rows.select(*sheet, F.col("row").alias("_at"), "stop").join(alive.withColumn("_alive", F.lit(True)), [*sheet, "_at"], "left")
@@ -450,14 +454,20 @@ def grid_table(cells: DataFrame, spec: GridTable) -> DataFrame:
     limits = heads.select(*sheet, "header_row").join(ends.filter("end is not null"), sheet).filter(F.col("end") > F.col("header_row"))
     limits = limits.groupBy(*sheet, "header_row").agg(F.min("end").alias("end"))
     tables = heads.join(limits, [*sheet, "header_row"])
-    inside = grid.join(tables, sheet).filter((F.col("row") > F.col("header_row")) & (F.col("row") < F.col("end")))
-    column = F.element_at(F.filter("columns", lambda c: c["col"] <= F.col("col")), -1)
+    inside = lines.join(tables, sheet).filter((F.col("row") > F.col("header_row")) & (F.col("row") < F.col("end")))
     key = [*sheet, "header_row", "row"]
-    placed = inside.withColumn("_c", F.when(F.col("col") >= F.col("columns")[0]["col"], column["name"])).filter("_c is not null")
-    texts = placed.groupBy(*key, "_c").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("_v"))
-    texts = texts.select(*key, "_c", F.array_join(F.transform("_v", lambda x: S.squeeze(x["value"])), " ").alias("text"))
+
+    def slice_text(c, i):
+        until = F.get(F.col("columns"), i + 1)["col"]
+        own = F.filter("cells", lambda x: (x["col"] >= c["col"]) & (until.isNull() | (x["col"] < until)))
+        return F.struct(c["name"], F.array_join(F.transform(own, lambda x: S.squeeze(x["value"])), " "))
+
     names = [n for n, _ in spec.headers]
-    wide = texts.groupBy(*key).agg(*[F.coalesce(F.max(F.when(F.col("_c") == n, F.col("text"))), F.lit("")).alias(n) for n in names])
+    texts = inside.select(*key, F.map_from_entries(F.transform("columns", slice_text)).alias("_t"))
+    wide = texts.select(*key, *[F.coalesce(F.try_element_at("_t", F.lit(n)), F.lit("")).alias(n) for n in names])
+    # the sliced rows are read three times below: once for the row openings, once
+    # for the rows themselves and once for their continuations
+    wide = materialise(wide, "rows").filter(F.concat(*names) != "")
     opens = F.col(names[0]).rlike(spec.first_pattern) if spec.first_pattern else F.col(names[0]) != ""
     if not spec.continuation:
         return dedupe_rows(wide.filter(opens), names)
