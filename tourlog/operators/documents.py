@@ -358,7 +358,8 @@ def grid_fields(cells: DataFrame, specs: dict[str, tuple[str, ...]]) -> DataFram
     left, right = label_text(F.substr(clean, F.lit(1), cut - 1)), F.trim(F.substr(clean, cut + 1))
     named = F.contains(left, F.col("label")) | F.contains(F.col("label"), left)
     inline_ok = (cut > 0) & named & (right != "") & (label_text(right) != "") & ~label_only(label_text(right))
-    hit = hit.withColumn("inline", F.when(inline_ok, right))
+    # label cells are few; they are read for their own and for their near values
+    hit = materialise(hit.withColumn("inline", F.when(inline_ok, right)), "labels")
     offsets = [(0, k) for k in range(1, 8)] + [(r, c) for r in range(1, 5) for c in range(0, 3)]
     places = F.array(*[F.struct(F.lit(i).alias("n"), (F.col("row") + r).alias("vrow"), (F.col("col") + c).alias("vcol")) for i, (r, c) in enumerate(offsets)])
     near = hit.filter("inline is null").select(*at, "field", F.inline(places))
