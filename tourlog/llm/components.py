@@ -16,19 +16,18 @@ def components(links: DataFrame) -> DataFrame:
     ones combine.  The number of rounds grows with the logarithm of the longest
     path.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = written(both.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct(), "labels")
-    left = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
+    left = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    labels = left.select("a").union(left.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("comp"))
+    left = left.where("a < b")
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")).select("c", F.least("c", "m").alias("to"))
         for _ in range(2):
-            up = written(up, "hung")
             over = up.select(F.col("c").alias("to"), F.col("to").alias("top"))
             up = up.join(over, "to", "left").select("c", F.coalesce("top", "to").alias("to"))
         up = written(up, "hung")
-        labels = written(labels.join(up, labels["comp"] == up["c"], "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
+        labels = labels.join(up, labels["comp"] == up["c"], "left").select("node", F.coalesce("to", "comp").alias("comp"))
         a, b = up.select(F.col("c").alias("a"), F.col("to").alias("ta")), up.select(F.col("c").alias("b"), F.col("to").alias("tb"))
         moved = left.join(a, "a").join(b, "b").where("ta <> tb")
         left = written(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "links")
-    return labels
+    return written(labels, "labels")
