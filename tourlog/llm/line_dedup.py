@@ -4,7 +4,8 @@ A line goes down a tree of fixed depth: number of tokens, then its leading
 tokens with variable fields (tokens with digits) generalised.  In a leaf that
 several documents reach, a token that recurs at its place is a constant of the
 template, any other token a field.  A line whose tokens are mostly constants
-follows the template; a line that is mostly fields stays a template of its own.
+follows the template; a line that is mostly fields, or half of it, is a template
+of its own.
 A template that enough documents share is kept in the document with the
 smallest id and dropped from the others.
 
@@ -56,16 +57,18 @@ def line_templates(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, simi
 
     at = texts.select("leaf", "line_hash", "n", "first_id", F.posexplode(F.transform(_tokens(F.col("line")), _masked)).alias("at", "token"))
     # constants: tokens that enough documents have at this place of the leaf
-    constants = at.groupBy("leaf", "at", "token").agg(F.sum("n").alias("seen")).where(F.col("seen") >= min_docs).drop("seen")
+    constants = at.where(F.col("token") != FIELD).groupBy("leaf", "at", "token").agg(F.sum("n").alias("seen")).where(F.col("seen") >= min_docs).drop("seen")
     marked = at.join(constants.withColumn("constant", F.lit(True)), ["leaf", "at", "token"], "left")
-    fixed = F.col("constant").isNotNull() & (F.col("token") != FIELD)
+    fixed = F.col("constant").isNotNull()
     forms = marked.groupBy("leaf", "line_hash", "n", "first_id").agg(
-        F.array_sort(F.collect_list(F.struct("at", "token", fixed.alias("fixed")))).alias("parts"),
-        F.avg((fixed | (F.col("token") == FIELD)).cast("double")).alias("share"),
+        F.array_sort(F.collect_list(F.struct("at", F.when(fixed, F.col("token")).otherwise(FIELD).alias("token")))).alias("parts"),
+        F.sum(fixed.cast("int")).alias("constants"),
+        F.sum((F.col("token") != FIELD).cast("int")).alias("plain"),
     )
-    own = F.transform("parts", lambda p: p["token"])
-    general = F.transform("parts", lambda p: F.when(p["fixed"], p["token"]).otherwise(FIELD))
-    forms = forms.select("leaf", "line_hash", "n", "first_id", F.array_join(F.when(F.col("share") >= similarity, general).otherwise(own), " ").alias("template"))
+    follows = (F.col("constants") >= similarity * F.col("plain")) & (2 * F.col("constants") >= F.size("parts"))
+    general = F.array_join(F.transform("parts", lambda p: p["token"]), " ")
+    own = F.col("line_hash").cast("string")
+    forms = forms.select("leaf", "line_hash", "n", "first_id", F.when(follows, general).otherwise(own).alias("template"))
     groups = forms.groupBy("leaf", "template").agg(F.sum("n").alias("n_docs"), F.min("first_id").alias("first_id")).where(F.col("n_docs") >= min_docs)
     return forms.select("leaf", "template", "line_hash").join(groups, ["leaf", "template"]).select("line_hash", "template", "first_id", "n_docs")
 
