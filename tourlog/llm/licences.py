@@ -46,7 +46,7 @@ WORD = re.compile(rb"[a-z0-9\x80-\xff]+(?:[.-][a-z0-9]+)*")
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)[^/]*$"
 COSINE = 0.75
 # licence words in all words, above which a file is a licence file
-FILE_SHARE = 0.1
+FILE_SHARE = 0.25
 # words that a span may hold between two words of templates
 GAP = 2
 
