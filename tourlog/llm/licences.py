@@ -124,9 +124,9 @@ class Scanner:
             if self.seeds.isdisjoint(words):
                 continue
             for span in self.spans(words):
-                cosine, name = max((self.best(s) for s in self._parts(span)), key=lambda x: (x[0], x[1]))
+                cosine, name, size = max(((*self.best(s), len(s)) for s in self._parts(span)), key=lambda x: x[:2])
                 if cosine >= COSINE:
-                    matched += len(span)
+                    matched += size
                     if (-cosine, name) < (-best[0], best[1] or "~"):
                         best = (cosine, name)
         return (best[1] or None), best[0], matched / total if total else 0.0
