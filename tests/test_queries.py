@@ -30,7 +30,7 @@ def duck():
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, duck, name):
     status, detail, _, _ = compare(spark, duck, SF, name, entry.queries()[name], entry.oracle_sql().get(name))
-    assert status in ("ok", "rows-only", "EMPTY"), detail
+    assert status in ("ok", "rows-only"), f"{status} {detail}"
 
 
 def test_every_check_names_a_query():

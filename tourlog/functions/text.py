@@ -152,10 +152,10 @@ def _number_forms(c: Column) -> Column:
         (rf"{_FREE}([0-9]+)(?:\s+|-\s*|\.)([0-9]+/[0-9]+)", "$1#$2"),
     ]
     symbols = [(rf"{_FREE}([0-9]+)\s*{symbol}", f"$1#{fraction}") for symbol, fraction in dims.UNICODE_FRACTIONS.items()]
-    # thousands: at most four groups, each step removes one separator
-    thousand = rf"{_FREE}([0-9]{{1,3}}(?:[0-9]{{3}})*),\s*([0-9]{{3}})(?=(?:,\s*[0-9]{{3}})*(?![0-9]))"
+    # thousands: each match removes one separator and the next one goes on where it ended
+    thousand = rf"({_FREE}[0-9]+|\G[0-9]{{3}}),\s*(?=[0-9]{{3}}(?:,\s*[0-9]{{3}})*(?![0-9]))"
     # a comma with one or two digits is a decimal comma
-    commas = [(thousand, "$1$2")] * 4 + [(rf"{_FREE}([0-9]+),([0-9]{{1,2}})(?![0-9,./])", "$1.$2")]
+    commas = [(thousand, "$1"), (rf"{_FREE}([0-9]+),([0-9]{{1,2}})(?![0-9,./])", "$1.$2")]
     depths = (rf"(?i){_FREE}([0-9]{{1,3}})\.([0-9]{{3}})(?={DEPTH_MARK})", "$1$2")
 
     def gated(c, pattern, steps):

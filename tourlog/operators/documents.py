@@ -496,8 +496,12 @@ def dedupe_rows(rows: DataFrame, names: list[str]) -> DataFrame:
 def raw_cells(cells: DataFrame) -> DataFrame:
     """Non-empty cells with their spreadsheet address (0-based column)."""
     col = F.col("col")
+    letter = lambda n: F.char(F.lit(65) + n % 26)
+    # one letter up to Z, two from 26 on, three from 26 + 26 * 26 on
     letters = F.concat(
-        F.when(col >= 26, F.char(F.lit(64) + F.floor(col / 26))).otherwise(""), F.char(F.lit(65) + col % 26)
+        F.when(col >= 702, letter(F.floor((col - 702) / 676))).otherwise(""),
+        F.when(col >= 26, letter(F.floor((col - 26) / 26))).otherwise(""),
+        letter(col),
     )
     return cells.filter(~S.blank(F.col("value"))).select(
         "doc", "sheet", F.concat(letters, F.col("row").cast("string")).alias("address"), S.squeeze(F.col("value")).alias("value")

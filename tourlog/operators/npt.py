@@ -121,13 +121,14 @@ def revision() -> Column:
 
 
 def confirm(
-    records: DataFrame, operations: DataFrame, edits: DataFrame, submit: bool, note: str, user: str, now: str
+    records: DataFrame, operations: DataFrame, edits: DataFrame, submit: bool, note: str, user: str, now: str, order: tuple[str, ...] = ("type",)
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Apply type edits per well: (outcomes, operations, records) as new snapshots.
 
     ``records.batch`` names the well a report belongs to and is the unit that
     is accepted or refused as a whole.  Edits carry (record_id, row_no, type,
-    row_revision).  A well is refused when it has no relevant report, no valid
+    row_revision); of several valid edits of a row the last by ``order`` applies.
+    A well is refused when it has no relevant report, no valid
     edit, any locked report, or an edit of a row that changed since it was read.
     """
     hours = system_hours(operations)
@@ -161,7 +162,7 @@ def confirm(
         .alias("outcome"),
     )
     accepted = outcomes.filter(F.col("outcome") == ("confirmed" if submit else "draft"))
-    apply = valid.join(accepted, "batch", "left_semi").select("record_id", "row_no", F.col("type").alias("_new"))
+    apply = valid.join(accepted, "batch", "left_semi").groupBy("record_id", "row_no").agg(F.max_by("type", F.struct(*order)).alias("_new"))
     edited = operations.join(apply, ["record_id", "row_no"], "left")
     hit = F.col("_new").isNotNull()
     current = F.upper(F.trim("op_type"))

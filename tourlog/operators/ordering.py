@@ -8,11 +8,21 @@ table of slice sizes gives each slice the number of rows before it.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on equal keys, where null equals null, so that no row is lost."""
+    named = right.select(*[F.col(c).alias(f"_on_{c}" if c in keys else c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in keys]
+    out = left.join(named, functools.reduce(lambda a, b: a & b, same))
+    return out.drop(*[f"_on_{c}" for c in keys])
+
+
 def number_rows(
     df: DataFrame, keys: list[str], slices: list[str], order: list[str | Column], name: str = "row_no"
 ) -> DataFrame:
@@ -28,7 +38,7 @@ def number_rows(
     offsets = sizes.select(*grain, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = W.partitionBy(*grain).orderBy(*order)
     return (
-        df.join(offsets, grain)
+        join_on(df, offsets, grain)
         .withColumn(name, (F.row_number().over(inside) + F.col("_before")).cast("int"))
         .drop("_before")
     )
@@ -87,7 +97,7 @@ def carry_forward(
     earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     handed = ends.select(*grain, F.last("_end", ignorenulls=True).over(earlier).alias("_handed"))
     return (
-        rows.join(handed, grain)
+        join_on(rows, handed, grain)
         .withColumn(name, F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_handed")))
         .drop("_value", "_block", "_handed")
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,8 @@ from tourlog.session import shared_dir
 
 
 def parquet_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
-    """A stream over the Parquet files ``name`` of a folder."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    """A stream over the Parquet table ``name`` of a folder, one file or a folder of part files."""
+    return spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/{name}")
 
 
 def run_to_table(stream: DataFrame, mode: str, purpose: str) -> DataFrame:
@@ -74,15 +75,32 @@ def intake(
     """Validate and merge arriving reports batch by batch; returns the snapshot folder.
 
     Batch n reads snapshot n - 1 and writes snapshot n, so a replay starts from
-    the same state.  Rejected reports go to a side table with their reason.
+    the same state.  The number of a batch is noted once its snapshot is whole,
+    so a later run on the same root goes on from there.  A row that lacks its
+    identity is refused for itself; other rows of its report are taken.
+    Rejected reports go to a side table with their reason.
     """
     spark = arrivals.sparkSession
-    stored.write.mode("overwrite").parquet(f"{root}/records/v=-1")
+
+    def last_snapshot() -> int | None:
+        try:
+            return spark.read.schema("batch_id long").parquet(f"{root}/done").agg(F.max("batch_id")).first()[0]
+        except AnalysisException as none_yet:
+            if "PATH_NOT_FOUND" not in str(none_yet):
+                raise
+            return None
+
+    def note(batch_id: int) -> None:
+        spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id")).write.mode("append").parquet(f"{root}/done")
+
+    if last_snapshot() is None:
+        stored.write.mode("overwrite").parquet(f"{root}/records/v=-1")
+        note(-1)
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
         old = spark.read.schema(stored.schema).parquet(f"{root}/records/v={batch_id - 1}")
         named = quality.missing_identity(batch).select("record_id", "missing")
-        whole = batch.join(named, "record_id", "left_anti")
+        whole = quality.with_identity(batch)
         latest = merge.last_per_key(whole, ["record_id"], order)
         good, bad = merge.split_batch(old, latest)
         merge.upsert_records(old, good.drop(*order)).write.mode("overwrite").parquet(f"{root}/records/v={batch_id}")
@@ -92,14 +110,14 @@ def intake(
         refused.write.mode("overwrite").parquet(f"{root}/rejected/b={batch_id}")
         if after:
             after(good, batch_id)
+        note(batch_id)
 
     query = (
         arrivals.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
         .foreachBatch(merge_batch).start()
     )
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else -1
-    return f"{root}/records/v={last}"
+    return f"{root}/records/v={last_snapshot()}"
 
 
 def event_sink(events: DataFrame, root: str) -> str:
