@@ -20,7 +20,8 @@ from tourlog.session import shared_dir
 
 def parquet_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
     """A stream over the Parquet table ``name`` of a folder, one file or a folder of part files."""
-    return spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/{name}")
+    # as a pattern (of the one name) the path may be a file as well as a folder
+    return spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/{name[:-1]}[{name[-1]}]")
 
 
 def run_to_table(stream: DataFrame, mode: str, purpose: str) -> DataFrame:
