@@ -39,8 +39,8 @@ from tourlog.llm.words import LOWER, WordHashes, contents, hashes, mixed
 GROUP_BITS = 6
 # points of a leaf
 LEAF = 256
-# width of the bands of sizes, as a power of 1 / threshold
-BAND = 4
+# width of the bands of sizes (in the logarithm), at least one step of the threshold
+BAND = 0.45
 # sizes that differ by this factor lie in different leaves
 LEAF_STEP = 1.02
 
@@ -77,7 +77,7 @@ def bands(size: int, percent: int) -> list[tuple[int, int]]:
     a band around that border.
     """
     r = 100 / percent
-    step = BAND * math.log(r)
+    step = max(1, math.floor(BAND / math.log(r))) * math.log(r)
     k = math.floor(math.log(size) / step + 1e-12)
     out = [(2 * k, math.exp((k + 1) * step))]
     for border in (k, k + 1):
@@ -263,44 +263,46 @@ def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     stars = rows.repartition("cell").sortWithinPartitions("cell", "c1").mapInArrow(_stars, "a long, b long").distinct()
     families = components(written(stars, "stars"))
 
-    members = groups.join(families.select(F.col("node").alias("c1"), F.col("comp").alias("family")), "c1")
-    wanted = members.select(F.col("doc_id").alias("want")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["want"]), "left_semi")
-    elements = texts.mapInArrow(partial(_wanted, n=n), "c1 long, c2 long, elements binary")
-    members = members.join(elements, ["c1", "c2"]).dropDuplicates(["k"]).select("k", "size", "family", "elements")
-
     # leaves: a small family is one; a large one is parted by size, then evenly by chance
-    counts = members.groupBy("family").agg(F.count(F.lit(1)).alias("in_family"))
-    members = members.join(counts, "family").withColumn(
-        "bin", F.when(F.col("in_family") <= LEAF, 0).otherwise(F.floor(F.log("size") / math.log(LEAF_STEP))).cast("int")
-    )
+    near = groups.join(families.select(F.col("node").alias("c1"), F.col("comp").alias("family")), "c1")
+    near = near.join(near.groupBy("family").agg((F.count(F.lit(1)) > LEAF).alias("large")), "family")
+    near = written(near.withColumn("bin", F.when(F.col("large"), F.floor(F.log("size") / math.log(LEAF_STEP))).otherwise(0).cast("int")), "near")
+    bins = written(near.where("large").groupBy("family", "bin").agg(F.ceil(F.count(F.lit(1)) / LEAF).cast("int").alias("parts")), "bins")
+    leaf = lambda family, b, p: F.concat_ws("/", family, b, p)
+    part = F.pmod(F.xxhash64("k"), F.coalesce("parts", F.lit(1))).cast("int")
+    near = near.join(bins, ["family", "bin"], "left").withColumn("part", part).withColumn("leaf", leaf(F.col("family"), F.col("bin"), F.col("part")))
+
+    wanted = near.select(F.col("doc_id").alias("want")).distinct()
+    texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["want"]), "left_semi")
+    elements = texts.mapInArrow(partial(_wanted, n=n), "c1 long, c2 long, elements binary").dropDuplicates(["c1", "c2"])
+    members = near.join(elements, ["c1", "c2"]).select("k", "size", "family", "bin", "part", "leaf", "large", "elements")
     members = written(members, "members")
-    bins = members.where(F.col("in_family") > LEAF).groupBy("family", "bin").agg(F.ceil(F.count(F.lit(1)) / LEAF).cast("int").alias("parts"))
-    bins = written(bins, "bins")
-    own = members.join(bins, ["family", "bin"], "left").withColumn("part", F.pmod(F.xxhash64("k"), F.coalesce("parts", F.lit(1))).cast("int"))
+
+    # each leaf in itself, and with the next one of its family as guests
     chain = Window.partitionBy("family").orderBy("bin", "part")
-    before = bins.select("family", "bin", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).withColumn("before", F.lag(F.struct("bin", "part")).over(chain))
-    leaf = lambda family, b, p: F.concat_ws("/", family, b, p)
-    rows = own.select(leaf(F.col("family"), F.col("bin"), F.col("part")).alias("leaf"), "k", F.col("k").alias("comp"), F.lit(0).alias("side"), "elements")
-    guests = own.where(F.col("in_family") > LEAF).join(before.where("before is not null"), ["family", "bin", "part"])
+    before = bins.select("family", "bin", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    before = before.withColumn("before", F.lag(F.struct("bin", "part")).over(chain)).where("before is not null")
+    rows = members.select("leaf", "k", F.col("k").alias("comp"), F.lit(0).alias("side"), "elements")
+    guests = members.where("large").drop("leaf").join(before, ["family", "bin", "part"])
     guests = guests.select(leaf(F.col("family"), F.col("before.bin"), F.col("before.part")).alias("leaf"), "k", F.col("k").alias("comp"), F.lit(1).alias("side"), "elements")
     links = written(_in_leaves(rows.unionByName(guests), percent), "leaf-links")
     found = components(links)
 
     # what is left of large families: pairs of leaves whose boxes allow a link between two components
-    large = own.where(F.col("in_family") > LEAF).join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
+    large = members.where("large").select("k", "size", "family", "bin", "leaf")
+    large = large.join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     torn = large.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("family")
-    large = written(large.join(torn, "family", "left_semi").select("k", "size", "family", "bin", "part", "comp", "elements", leaf(F.col("family"), F.col("bin"), F.col("part")).alias("leaf")), "torn")
+    large = written(large.join(torn, "family", "left_semi"), "torn")
     if not large.isEmpty():
-        more = written(_between_leaves(large, percent), "more-links")
+        more = written(_between_leaves(large, members.select("k", "leaf", "elements"), percent), "more-links")
         found = components(links.unionByName(more))
     groups = groups.join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     return facts.drop("cells"), groups
 
 
-def _between_leaves(large: DataFrame, percent: int) -> DataFrame:
-    """Links between components in rows (k, size, family, bin, part, comp, elements, leaf)."""
-    tops = large.select("leaf", "elements").mapInArrow(_boxes, "leaf string, top array<long>")
+def _between_leaves(large: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links between components in rows (k, size, family, bin, leaf, comp); members have (k, leaf, elements)."""
+    tops = members.join(large.select("leaf").distinct(), "leaf", "left_semi").select("leaf", "elements").mapInArrow(_boxes, "leaf string, top array<long>")
     tops = tops.select("leaf", F.posexplode("top")).groupBy("leaf", "pos").agg(F.max("col").alias("top"))
     tops = tops.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "top"))), lambda x: x["top"]).alias("top"))
     facts = large.groupBy("leaf").agg(
@@ -317,10 +319,10 @@ def _between_leaves(large: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.where(bound * (100 + percent) >= percent * (F.col("a_least") + F.col("least")))
     pairs = written(pairs.select("a_leaf", "leaf"), "leaf-pairs")
     name = F.concat_ws("|", "a_leaf", "leaf")
-    one = large.join(pairs.select(name.alias("pair"), F.col("a_leaf").alias("leaf")), "leaf").select(F.col("pair").alias("leaf"), "k", "comp", F.lit(0).alias("side"), "elements")
-    other = pairs.where("a_leaf <> leaf").select(name.alias("pair"), "leaf")
-    two = large.join(other, "leaf").select(F.col("pair").alias("leaf"), "k", "comp", F.lit(1).alias("side"), "elements")
-    return _in_leaves(one.unionByName(two), percent)
+    one = pairs.select(name.alias("pair"), F.col("a_leaf").alias("leaf"), F.lit(0).alias("side"))
+    two = pairs.where("a_leaf <> leaf").select(name.alias("pair"), "leaf", F.lit(1).alias("side"))
+    sides = large.select("leaf", "k", "comp").join(one.unionByName(two), "leaf").drop("leaf").withColumnRenamed("pair", "leaf")
+    return _in_leaves(sides.join(members.select("k", "elements"), "k"), percent)
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
