@@ -84,10 +84,10 @@ ORACLES = {
     "op10_jaccard": r"""
         with recursive w as (
           select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                 '[\x20\x09-\x0D]+'), x -> x <> '') as words from documents
+                 '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents
         ), s as (
           select distinct doc_id, unnest(case when len(words) = 0 then [] when len(words) < 3 then [words]
-                 else list_transform(range(1, len(words) - 1), i -> words[i:i+2]) end) as g from w
+                 else list_transform(range(1, len(words) - 1), lambda i: words[i:i+2]) end) as g from w
         ), n as (select doc_id, count(*) as n_shingles from s group by doc_id),
         p as (select a.doc_id as x, b.doc_id as y, count(*) as shared from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
         l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * shared >= 90 * (a.n_shingles + b.n_shingles - shared)),
