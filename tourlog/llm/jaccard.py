@@ -7,9 +7,9 @@ intersection is at most the sum of the smaller coordinates.
 The index has two levels.  A tree of boxes over all points can not part texts
 of natural language (in hundreds of coordinates all boxes meet), so its upper
 level is exact: with sizes in one band, two sets that link differ in at most D
-elements, so of D + 1 groups (and a few spare ones) they agree in at least one
-that is not empty.  Documents that agree in a group (count and content) are in
-the same cell; cells that share documents form a family.  Links run only inside
+elements, so of D + 1 groups (and half as many spare ones) they agree in at
+least one of the larger groups of both.  Documents that agree in such a group
+(count and content) are in the same cell; cells that share documents form a family.  Links run only inside
 families, and only cells move, never pairs.  Below, each family is a tree:
 its points are packed by size into leaves of bounded size, leaves have boxes
 (largest counts, range of sizes), and leaf by leaf the bound discards points
@@ -89,16 +89,17 @@ def bands(size: int, percent: int) -> list[tuple[int, int]]:
 
 
 def _spare(d: int) -> int:
-    """Groups beyond what must agree, so that most sets need not list empty groups."""
-    return 0 if d == 0 else 2 + d // 10
+    """Groups beyond what must agree, so that a set need not list its smallest groups."""
+    return (d + 1) // 2
 
 
 def cells(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the cells of a set: one for each group of each band.
+    """Keys of the cells of a set: one for each of its larger groups in each band.
 
-    With D + 1 + E groups, sets that link agree in E + 1 at least.  If a set has
-    at most E empty groups, one of those is not empty, so it lists none of its
-    empty groups; else it lists all, as do all sets that agree with it only there.
+    With D + 1 + E groups, sets that link agree in E + 1 at least.  Each set lists
+    its groups of at least m elements, m as large as leaves out E groups at most.
+    So of E + 1 groups in which two sets agree the largest is listed by both, and
+    small groups, in which unrelated texts agree by one common phrase, by none.
     """
     out = []
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s), dtype=np.uint64)])
@@ -110,7 +111,7 @@ def cells(s: np.ndarray, percent: int) -> np.ndarray:
         content = sums[at[1:]] - sums[at[:-1]]
         place = np.uint64((band << 32) % 2**64) + np.arange(groups, dtype=np.uint64)
         keys = mixed(mixed(content + count * _ODD[1]) + place * _ODD[2])
-        out.append(keys[count > 0] if (count == 0).sum() <= _spare(d) else keys)
+        out.append(keys[count >= np.sort(count)[_spare(d)]])
     return np.concatenate(out)
 
 
