@@ -43,6 +43,8 @@ LEAF = 256
 BAND = 0.45
 # sizes that differ by this factor lie in different leaves
 LEAF_STEP = 1.02
+# bits of the bitmap of wanted texts: 2,048 rows of 4 KB are all that is sent to workers, however many texts are wanted
+WANTED_BITS = 26
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -132,8 +134,8 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[p
                 seen.add((c1, c2))
             keys.append(cells(s, percent).view(np.int64) if fresh else None)
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "size", "c1", "c2", "cells"],
+            [b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+            ["doc_id", "text_hash", "size", "c1", "c2", "cells"],
         )
 
 
@@ -145,15 +147,30 @@ def class_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def _wanted(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Sets of texts (id, text) as bytes, with their class keys."""
+    """Rows (text, c1, c2, facts of the point): the facts and the set as bytes, if the text is of that class."""
     table = WordHashes()
     for b in batches:
-        sets = [shingles(t, n, table) for t in contents(b.column(1))]
-        keys = [class_key(s) for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-            ["c1", "c2", "elements"],
-        )
+        sets = [shingles(t, n, table) for t in contents(b.column(0))]
+        right = [class_key(s) == key for s, key in zip(sets, zip(b.column(1).to_pylist(), b.column(2).to_pylist()))]
+        facts = [b.column(c) for c in range(3, b.num_columns)]
+        out = pa.RecordBatch.from_arrays([*facts, pa.array([s.tobytes() for s in sets], pa.binary())], [*b.schema.names[3:], "elements"])
+        yield out.filter(pa.array(right, pa.bool_()))
+
+
+def _likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``texts`` that may be in ``wanted``, both by (doc_id, text_hash): none that is gets lost, few others stay.
+
+    The bitmap is of one size for any number of rows, so it can be sent to every
+    worker; where too many rows are wanted for it, more texts stay for the join
+    that follows.
+    """
+    bit = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << WANTED_BITS))
+    place = [F.shiftright(bit, 15).alias("slice"), bit.bitwiseAND(32767).alias("bit")]
+    maps = wanted.select(*place).groupBy("slice").agg(F.bitmap_construct_agg("bit").alias("map"))
+    byte = F.conv(F.hex(F.substring("map", F.shiftright("bit", 3).cast("int") + 1, 1)), 16, 10).cast("long")
+    test = F.getbit(byte, F.col("bit").bitwiseAND(7).cast("int")) == 1
+    placed = texts.select("*", *place).alias("t")
+    return placed.join(F.broadcast(maps.withColumnRenamed("slice", "map_slice")), (F.col("slice") == F.col("map_slice")) & test).select(*texts.columns)
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +245,8 @@ def _leaves(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
                 if len(rows) > 1:
                     yield links()
                 rows, leaf = [], at
-            rows.append(row)
+            if not rows or rows[-1][0] != row[0]:
+                rows.append(row)
     if len(rows) > 1:
         yield links()
 
@@ -254,10 +272,12 @@ def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     comp is the smallest k that the links of the threshold reach; a class of the
     empty set is none.
     """
-    facts = written(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        partial(_sets, n=n, percent=percent), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, size long, c1 long, c2 long, cells array<long>"
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    facts = written(texts.mapInArrow(
+        partial(_sets, n=n, percent=percent), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, size long, c1 long, c2 long, cells array<long>"
     ), "sets")
-    groups = facts.where("size > 0").groupBy("c1", "c2").agg(F.min("size").alias("size"), F.min("doc_id").alias("doc_id"))
+    one_text = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("text_hash")
+    groups = facts.where("size > 0").groupBy("c1", "c2").agg(F.min("size").alias("size"), F.min("doc_id").alias("doc_id"), one_text)
     groups = written(groups.withColumn("k", F.monotonically_increasing_id()), "classes")
 
     rows = facts.where("cells is not null").select(F.explode("cells").alias("cell"), "c1")
@@ -273,11 +293,12 @@ def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     part = F.pmod(F.xxhash64("k"), F.coalesce("parts", F.lit(1))).cast("int")
     near = near.join(bins, ["family", "bin"], "left").withColumn("part", part).withColumn("leaf", leaf(F.col("family"), F.col("bin"), F.col("part")))
 
-    wanted = near.select(F.col("doc_id").alias("want")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["want"]), "left_semi")
-    elements = texts.mapInArrow(partial(_wanted, n=n), "c1 long, c2 long, elements binary").dropDuplicates(["c1", "c2"])
-    members = near.join(elements, ["c1", "c2"]).select("k", "size", "family", "bin", "part", "leaf", "large", "elements")
-    members = written(members, "members")
+    # one text of each class carries its facts on; rows that repeat wholly come twice, and leaves pass over them
+    kept = ["k", "size", "family", "bin", "part", "leaf", "large"]
+    wanted = near.select("c1", "c2", *kept, F.col("doc_id").alias("want"), F.col("text_hash").alias("want_hash"))
+    sought = _likely(texts, near).join(wanted, F.col("text_hash").eqNullSafe(F.col("want_hash")) & F.col("doc_id").eqNullSafe(F.col("want")))
+    shape = "k long, size long, family long, bin int, part int, leaf string, large boolean, elements binary"
+    members = written(sought.select("text", "c1", "c2", *kept).mapInArrow(partial(_wanted, n=n), shape), "members")
 
     # each leaf in itself, and with the next one of its family as guests
     chain = Window.partitionBy("family").orderBy("bin", "part")
@@ -298,7 +319,7 @@ def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
         more = written(_between_leaves(large, members.select("k", "leaf", "elements"), percent), "more-links")
         found = components(links.unionByName(more))
     groups = groups.join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
-    return facts.drop("cells"), groups
+    return facts.drop("cells", "text_hash"), groups
 
 
 def _between_leaves(large: DataFrame, members: DataFrame, percent: int) -> DataFrame:
