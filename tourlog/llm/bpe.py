@@ -26,10 +26,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tourlog.llm.words import Recent, contents
+from tourlog.llm.words import Recent, contents, pieces
 
 # results that a worker keeps: of chunks, of words, and of pairs of tokens
-CACHED_CHUNKS = 250_000
+CACHED_CHUNKS = 125_000
 CACHED_WORDS = 150_000
 CACHED_PAIRS = 1 << 18
 # longer ones are not kept
@@ -187,7 +187,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, keep_ids: bool = True) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value)
-        for b in batches:
+        for b in pieces(batches):
             rows = [bpe.encode(t) for t in contents(b.column(b.schema.get_field_index("text")))]
             out = [
                 pa.array([r[0] for r in rows], pa.int64()),

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tourlog.llm.components import components
 from tourlog.llm.storage import written
-from tourlog.llm.words import LOWER, WordHashes, contents, hashes, mixed
+from tourlog.llm.words import LOWER, WordHashes, contents, hashes, mixed, pieces
 
 # coordinates of a point, as bits of the hash
 GROUP_BITS = 6
@@ -121,7 +121,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[p
     """Facts of each text: id, size, class key, and cells of the first text of a class in the task."""
     table = WordHashes()
     seen: set[tuple[int, int]] = set()
-    for b in batches:
+    for b in pieces(batches):
         size, one, two, keys = [], [], [], []
         for text in contents(b.column(1)):
             s = shingles(text, n, table)
@@ -149,7 +149,7 @@ def class_key(s: np.ndarray) -> tuple[int, int]:
 def _wanted(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Rows (text, c1, c2, facts of the point): the facts and the set as bytes, if the text is of that class."""
     table = WordHashes()
-    for b in batches:
+    for b in pieces(batches):
         sets = [shingles(t, n, table) for t in contents(b.column(0))]
         right = [class_key(s) == key for s, key in zip(sets, zip(b.column(1).to_pylist(), b.column(2).to_pylist()))]
         facts = [b.column(c) for c in range(3, b.num_columns)]

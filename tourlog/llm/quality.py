@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tourlog.llm.words import contents
+from tourlog.llm.words import contents, pieces
 
 TREES = 100
 SAMPLE = 256
@@ -80,7 +80,7 @@ def statistics(text: bytes) -> tuple[list[int], list[float]]:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features of labelled texts (doc_id, quality, text)."""
-    for b in batches:
+    for b in pieces(batches):
         rows = [statistics(t) for t in contents(b.column(2))]
         failed = [base_failed(s) for s, _ in rows]
         yield pa.RecordBatch.from_arrays(
@@ -190,7 +190,7 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     forest = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             rows = [statistics(t) for t in contents(b.column(b.schema.get_field_index("text")))]
             if not rows:
                 continue

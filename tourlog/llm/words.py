@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -10,6 +12,8 @@ import xxhash
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 # words kept in a worker's table of hashes
 CACHED_WORDS = 400_000
+# bytes of a batch that are worked on at once
+PIECE_BYTES = 1 << 20
 
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
@@ -21,6 +25,20 @@ def contents(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of at most PIECE_BYTES (one row at least), and memory back in the end.
+
+    What a worker makes of a batch stays small, whatever the batch holds; a
+    worker that waits for the next stage keeps no buffers.
+    """
+    for b in batches:
+        rows = max(1, b.num_rows * PIECE_BYTES // max(b.nbytes, 1))
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+        del b
+    pa.default_memory_pool().release_unused()
+
+
 class Recent:
     """A table of results for keys, which forgets keys not used for a while.
 
