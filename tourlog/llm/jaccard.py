@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tourlog.llm.components import components
+from tourlog.llm.likely import likely
 from tourlog.llm.storage import written
 from tourlog.llm.words import LOWER, WordHashes, contents, hashes, mixed, pieces
 
@@ -43,8 +44,6 @@ LEAF = 256
 BAND = 0.45
 # sizes that differ by this factor lie in different leaves
 LEAF_STEP = 1.02
-# bits of the bitmap of wanted texts: 2,048 rows of 4 KB are all that is sent to workers, however many texts are wanted
-WANTED_BITS = 26
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -157,22 +156,6 @@ def _wanted(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
         yield out.filter(pa.array(right, pa.bool_()))
 
 
-def _likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``texts`` that may be in ``wanted``, both by (doc_id, text_hash): none that is gets lost, few others stay.
-
-    The bitmap is of one size for any number of rows, so it can be sent to every
-    worker; where too many rows are wanted for it, more texts stay for the join
-    that follows.
-    """
-    bit = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << WANTED_BITS))
-    place = [F.shiftright(bit, 15).alias("slice"), bit.bitwiseAND(32767).alias("bit")]
-    maps = wanted.select(*place).groupBy("slice").agg(F.bitmap_construct_agg("bit").alias("map"))
-    byte = F.conv(F.hex(F.substring("map", F.shiftright("bit", 3).cast("int") + 1, 1)), 16, 10).cast("long")
-    test = F.getbit(byte, F.col("bit").bitwiseAND(7).cast("int")) == 1
-    placed = texts.select("*", *place).alias("t")
-    return placed.join(F.broadcast(maps.withColumnRenamed("slice", "map_slice")), (F.col("slice") == F.col("map_slice")) & test).select(*texts.columns)
-
-
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (cell, c1) sorted by both: a link from each member of a cell to its first."""
     last, hub = None, None
@@ -296,7 +279,7 @@ def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     # one text of each class carries its facts on; rows that repeat wholly come twice, and leaves pass over them
     kept = ["k", "size", "family", "bin", "part", "leaf", "large"]
     wanted = near.select("c1", "c2", *kept, F.col("doc_id").alias("want"), F.col("text_hash").alias("want_hash"))
-    sought = _likely(texts, near).join(wanted, F.col("text_hash").eqNullSafe(F.col("want_hash")) & F.col("doc_id").eqNullSafe(F.col("want")))
+    sought = likely(texts, near, "doc_id", "text_hash").join(wanted, F.col("text_hash").eqNullSafe(F.col("want_hash")) & F.col("doc_id").eqNullSafe(F.col("want")))
     shape = "k long, size long, family long, bin int, part int, leaf string, large boolean, elements binary"
     members = written(sought.select("text", "c1", "c2", *kept).mapInArrow(partial(_wanted, n=n), shape), "members")
 

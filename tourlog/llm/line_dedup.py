@@ -10,7 +10,7 @@ A template that enough documents share is kept in the document with the
 smallest id and dropped from the others.
 
 At size: leaves are counted by hashes, texts of lines are only moved for leaves
-that recur, equal lines combine before their tokens are taken apart, and
+that recur (by a bitmap of fixed size), equal lines combine before they move, and
 decisions come back to a document as the hashes of its dropped lines.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tourlog.llm.likely import likely
 from tourlog.llm.storage import written
 
 FIELD = "<*>"
@@ -52,8 +53,10 @@ def line_templates(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, simi
     """
     lines = _leaf(_lines(docs), min_tokens)
     counts = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    texts = lines.join(counts, "leaf").groupBy("leaf", F.xxhash64("line").alias("line_hash"), "line").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
-    texts = written(texts, "leaf-lines")
+    counts = written(counts, "leaves")
+    # equal lines combine in the map tasks; the join then drops what the bitmap let through
+    texts = likely(lines, counts, "leaf").groupBy("leaf", F.xxhash64("line").alias("line_hash"), "line").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    texts = written(texts.join(counts, "leaf"), "leaf-lines")
 
     at = texts.select("leaf", "line_hash", "n", "first_id", F.posexplode(F.transform(_tokens(F.col("line")), _masked)).alias("at", "token"))
     # constants: tokens that enough documents have at this place of the leaf
