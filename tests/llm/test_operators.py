@@ -203,6 +203,32 @@ def test_mix_deviates_by_less_than_a_block(spark):
     assert mixing.mix(docs.where("doc_id < 0"), mixing.tempered_weights(docs.where("doc_id < 0"))).count() == 0
 
 
+def test_mix_goes_on_when_a_source_runs_out(spark):
+    """A source of one row and a share far below 1/1000 ends nothing, and each phase has its own shares."""
+    sources = ["a"] * 700 + ["b"] * 300 + ["rare"]
+    docs = spark.createDataFrame(list(enumerate(sources)), "doc_id long, source string").repartition(3)
+    weights = spark.createDataFrame([("a", 0.4), ("b", 0.59999), ("rare", 0.00001)], "source string, weight double")
+    rows = mixing.mix(docs, weights, block_rows=2).collect()
+    assert sorted(r.doc_id for r in rows if r.mix_slot is not None) == list(range(1001))
+    at = {r.mix_slot: r.source for r in rows}
+    assert sorted(at) == list(range(501))
+    seen = Counter()
+    for slot in range(501):
+        seen[at[slot]] += 1
+        if slot < 249:  # b runs out at slot 250
+            assert abs(seen["a"] - 0.4 * (slot + 1)) < 1 and abs(seen["b"] - 0.59999 * (slot + 1)) < 1
+    assert seen["b"] == 150 and all(at[slot] != "b" for slot in range(251, 501))
+    assert at[500] in ("a", "rare")
+
+
+def test_pipeline_mix_keeps_every_document(spark):
+    import corpus_pipeline
+
+    rows = [(k, "t", s) for k, s in enumerate(["a"] * 70_000 + [None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert corpus_pipeline.mix_stage(spark, docs, "").count() == 70_001
+
+
 # html
 
 def page(body):

@@ -1,28 +1,40 @@
 """Mixing sources to target weights by Pfair scheduling of blocks.
 
-The rows of each source are dealt into blocks.  With weight w, block j of a
-source is released at slot floor(j / w) and due at slot ceil((j + 1) / w); of
-the released blocks the one that is due first takes the next slot.  All blocks
-meet their windows, so that after any number of slots each source has its share
-within less than one block.
-
-Weights are rounded to whole blocks in a period, after which the schedule
-repeats.  The schedule of one period is a table of ``period`` rows, made once by
-a fold; the slot of any block is then arithmetic, and no task sees a whole
-source.  Rows are numbered in salted groups with running sums over the group
-counts, so that one source may hold most rows.
+The rows of each source are dealt into blocks.  While the sources W are left,
+source s gets w_s / sum(W) of the slots; a source whose blocks are used up goes
+and the weights of the others are taken anew, so every block has a slot.  At that
+steady rate block j of a source would begin at F(j) and end at F(j + 1): it is
+released at slot floor(F(j)) and due at slot ceil(F(j + 1)), and of the released
+blocks the one that is due first takes the next slot.  All blocks meet their
+windows, so that after any number of slots each source has its share within less
+than one block.
+
+Weights are exact fractions (of their decimal digits) and windows are whole
+numbers, so a source may have any share.  The schedule needs the number of blocks
+of each source only; the driver makes it in one pass and writes it in slices, a
+row for each block, so that what it holds does not grow.  Rows are numbered in
+salted groups with running sums over the group counts, so that one source may hold
+most rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tourlog.llm.storage import written
+from tourlog.llm.storage import shared_folder, written
 
 # groups in which the rows of a source are numbered
 SALTS = 4096
 MAX_SOURCES = 10_000
+# blocks of the schedule that the driver holds
+SLICE = 1 << 20
 
 
 def tempered_weights(docs: DataFrame, source: str = "source", alpha: float = 0.7) -> DataFrame:
@@ -31,37 +43,78 @@ def tempered_weights(docs: DataFrame, source: str = "source", alpha: float = 0.7
     return counts.select("source", F.pow(F.col("count").cast("double"), F.lit(alpha)).alias("weight"))
 
 
-def period_schedule(weights: DataFrame, period: int = 1000) -> DataFrame:
-    """The slots of one period: (source, of, k, slot, length).
+def _whole(weights: list) -> list[int]:
+    """Whole numbers in the ratio of the weights as written in decimal."""
+    exact = [Fraction(str(w)) for w in weights]
+    scale = math.lcm(*[x.denominator for x in exact])
+    whole = [int(x * scale) for x in exact]
+    common = math.gcd(*whole)
+    return [x // common for x in whole]
+
 
-    ``of`` is the number of blocks of the source in a period (its weight in
-    whole blocks, 1 at least), k counts them, length is the number of slots.
-    Sources of no weight are left out.  The table is bounded: more than
-    MAX_SOURCES sources are refused, and a period has about ``period`` slots.
+def _phases(weights: list[int], blocks: list[int]) -> list[tuple[int, int, int, int]]:
+    """Stretches of slots with the same sources: (used, rate, n, w).
+
+    At the time v at which a source of weight w has had w * v blocks, used +
+    rate * v slots have gone.  The stretch ends at v = n / w, where its first
+    source runs out.
     """
-    weights = weights.where("weight > 0").select("source", "weight")
-    if weights.count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    total = weights.agg(F.sum("weight")).first()[0]
-    shares = weights.select("source", F.greatest(F.round(F.col("weight") / F.lit(total) * period), F.lit(1)).cast("int").alias("of"))
-    every = shares.agg(F.sum("of").alias("length"), F.sort_array(F.collect_list(F.struct("source", "of"))).alias("shares")).where("length > 0")
-    blocks = F.expr(
-        """array_sort(flatten(transform(shares, s -> transform(sequence(0, s.of - 1), k -> named_struct(
-             'due', cast(ceil((k + 1) * length / s.of) as long), 'source', s.source, 'k', k, 'of', s.of,
-             'release', cast(floor(k * length / s.of) as long))))))"""
-    )
-    fold = F.expr(
-        """aggregate(sequence(0L, length - 1), named_struct('left', blocks, 'out', slice(blocks, 1, 0)),
-             (acc, t) -> transform(
-                 array(element_at(filter(acc.left, b -> b.release <= t), 1)),
-                 p -> named_struct(
-                     'left', filter(acc.left, b -> not (b.source <=> p.source and b.k = p.k)),
-                     'out', concat(acc.out, array(p))))[0],
-             acc -> acc.out)"""
-    )
-    return every.select("length", blocks.alias("blocks")).select("length", F.posexplode(fold).alias("slot", "b")).select(
-        F.col("b.source").alias("source"), F.col("b.of").alias("of"), F.col("b.k").alias("k"), F.col("slot").cast("long").alias("slot"), "length"
-    )
+    order = sorted(range(len(weights)), key=lambda s: Fraction(blocks[s], weights[s]))
+    out, used, rate = [], 0, sum(weights)
+    for s in order:
+        out.append((used, rate, blocks[s], weights[s]))
+        used, rate = used + blocks[s], rate - weights[s]
+    return out
+
+
+def schedule(weights: list[int], blocks: list[int]) -> Iterator[int]:
+    """The number of the source that has each slot, for all blocks of all sources."""
+    phases = _phases(weights, blocks)
+    count, phase = len(weights), [0] * len(weights)
+
+    def begin(s: int, j: int) -> tuple[int, int]:
+        """F(j) of source s as a fraction, for j that do not fall."""
+        w, p = weights[s], phase[s]
+        while p + 1 < count and j * phases[p][3] > phases[p][2] * w:
+            p += 1
+        phase[s] = p
+        used, rate = phases[p][:2]
+        return used * w + rate * j, w
+
+    done = [0] * count
+    release = [(0, s) for s in range(count) if blocks[s]]
+    ready: list[tuple[int, int]] = []
+    for slot in range(sum(blocks)):
+        while release and release[0][0] <= slot:
+            s = heapq.heappop(release)[1]
+            top, under = begin(s, done[s] + 1)
+            heapq.heappush(ready, (-(-top // under), s))
+        s = heapq.heappop(ready)[1]
+        yield s
+        done[s] += 1
+        if done[s] < blocks[s]:
+            top, under = begin(s, done[s])
+            heapq.heappush(release, (top // under, s))
+
+
+def _write_schedule(spark: SparkSession, weights: list[int], blocks: list[int]) -> DataFrame:
+    """The table (mix_source, mix_block, mix_slot), written slice by slice."""
+    import pyarrow as pa
+
+    path = shared_folder(spark, "mix-schedule")
+    done, slots, first = np.zeros(len(weights), np.int64), schedule(weights, blocks), 0
+    while True:
+        sources = np.fromiter((s for _, s in zip(range(SLICE), slots)), np.int32)
+        block = np.empty(len(sources), np.int64)
+        order = np.argsort(sources, kind="stable")
+        counts = np.bincount(sources, minlength=len(done))
+        starts = np.cumsum(counts) - counts
+        block[order] = np.arange(len(order)) - np.repeat(starts, counts) + np.repeat(done, counts)
+        table = pa.table({"mix_source": sources, "mix_block": block, "mix_slot": np.arange(first, first + len(sources), dtype=np.int64)})
+        spark.createDataFrame(table, "mix_source int, mix_block long, mix_slot long").write.mode("append").parquet(path)
+        done, first = done + counts, first + len(sources)
+        if first >= sum(blocks):
+            return spark.read.schema("mix_source int, mix_block long, mix_slot long").parquet(path)
 
 
 def mix(docs: DataFrame, weights: DataFrame, source: str = "source", block_rows: int = 32, period: int = 1000, seed: int = 11) -> DataFrame:
@@ -69,37 +122,38 @@ def mix(docs: DataFrame, weights: DataFrame, source: str = "source", block_rows:
 
     Rows of a source come in a seeded order, in blocks of ``block_rows`` (the
     last may be shorter); mix_slot is the place of the block, mix_at the place
-    of the row in it.  The target weights hold while every source has blocks
-    left; ``in_mix`` marks that part, no row is lost beyond it.  A null source
-    is a source; rows of a source without weight have no slot and are not in
-    the mix.  Columns of the input must not have the names added.
+    of the row in it.  Every row of a source with a weight has a slot: where a
+    source runs out, the others go on in the ratio of their weights.  ``in_mix``
+    marks the slots in which every source has blocks left.  A null source is a
+    source; rows of a source without weight have no slot and are not in the mix.
+    ``period`` has no effect, as weights are not rounded.  Columns of the input
+    must not have the names added.
     """
-    names = docs.columns
+    spark, names = docs.sparkSession, docs.columns
     salt = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
     rows = written(docs.select("*", salt.alias("mix_salt"), F.monotonically_increasing_id().alias("mix_rid")), "mix-rows")
 
     # rows before each salted group: a running sum over at most SALTS counts of a source
     counts = rows.groupBy(F.col(source).alias("src"), "mix_salt").count()
     running = Window.partitionBy("src").orderBy("mix_salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    firsts = counts.select("src", "mix_salt", (F.sum("count").over(running) - F.col("count")).alias("first"), F.sum("count").over(Window.partitionBy("src")).alias("n"))
-    firsts = firsts.withColumnRenamed("mix_salt", "salt")
+    firsts = written(counts.select("src", F.col("mix_salt").alias("salt"), (F.sum("count").over(running) - F.col("count")).alias("first"), F.col("count").alias("n")), "mix-firsts")
 
+    weights = weights.where("weight > 0").groupBy(F.col("source").alias("of_source")).agg(F.sum("weight").alias("weight"))
+    if weights.count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    sizes = firsts.groupBy("src").agg(F.ceil(F.sum("n") / block_rows).alias("blocks"))
+    known = sizes.join(weights, F.col("src").eqNullSafe(F.col("of_source"))).select("src", "blocks", "weight").collect()
+    known.sort(key=lambda r: (r.src is not None, r.src if r.src is not None else 0))
+    whole, blocks = _whole([r.weight for r in known]), [r.blocks for r in known]
+    end = min((sum(whole) * n // w for n, w in zip(blocks, whole)), default=0)
+    numbers = spark.createDataFrame([(r.src, k) for k, r in enumerate(known)], f"of_source {rows.schema[source].dataType.simpleString()}, mix_source int")
+    slots = _write_schedule(spark, whole, blocks)
+
+    firsts = firsts.join(F.broadcast(numbers), F.col("src").eqNullSafe(F.col("of_source")), "left").drop("of_source", "n")
     place = Window.partitionBy(source, "mix_salt").orderBy(F.xxhash64(F.lit(seed), "mix_rid"), "mix_rid")
     at = rows.select("*", F.row_number().over(place).alias("mix_row"))
     at = at.join(firsts, at[source].eqNullSafe(firsts["src"]) & (at["mix_salt"] == firsts["salt"]))
     at = at.withColumn("mix_row", F.col("first") + F.col("mix_row") - 1)
     at = at.withColumns({"mix_block": F.floor(F.col("mix_row") / block_rows), "mix_at": (F.col("mix_row") % block_rows).cast("int")})
-
-    slots = written(period_schedule(weights, period), "mix-period").select(F.col("source").alias("of_source"), "of", "k", F.col("slot").alias("in_period"), "length")
-    # the first slot whose block a source no longer has
-    blocks = firsts.groupBy("src").agg(F.ceil(F.max("n") / block_rows).alias("blocks"))
-    missing = blocks.join(slots, F.col("src").eqNullSafe(F.col("of_source")) & (F.col("blocks") % F.col("of") == F.col("k")))
-    end = missing.agg(F.min(F.floor(F.col("blocks") / F.col("of")) * F.col("length") + F.col("in_period"))).first()[0]
-
-    sizes = slots.select("of_source", "of").distinct()
-    out = at.join(F.broadcast(sizes), at[source].eqNullSafe(sizes["of_source"]), "left").drop("of_source")
-    out = out.join(
-        F.broadcast(slots.drop("of")), out[source].eqNullSafe(slots["of_source"]) & (F.col("mix_block") % F.col("of") == F.col("k")), "left"
-    )
-    out = out.withColumn("mix_slot", F.floor(F.col("mix_block") / F.col("of")) * F.col("length") + F.col("in_period"))
+    out = at.join(slots, ["mix_source", "mix_block"], "left")
     return out.select(*names, "mix_block", "mix_slot", "mix_at", F.coalesce(F.col("mix_slot") < F.lit(end).cast("long"), F.lit(False)).alias("in_mix"))
