@@ -270,6 +270,22 @@ def test_line_dedup(spark, docs, texts, empty):
             assert r.clean_text == t
 
 
+def test_equal_lines_of_two_documents(spark, tmp_path):
+    """A passage in two documents, and lines without spaces, in the query and in the stage of the pipeline."""
+    import corpus_pipeline
+    from tourlog.llm.queries import op7_line_dedup
+
+    passage = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    han, thai = "今天天气很好我们去公园散步吧", "วันนี้อากาศดีมากเราไปเดินเล่น"
+    rows = [(1, f"one alone here\n{passage}\n{han}"), (2, f"two by itself here\n{passage}\n短句"), (3, f"{han}\n{thai}\n短句"), (4, f"four\n{thai}")]
+    want = {1: rows[0][1], 2: "two by itself here\n短句", 3: f"{thai}\n短句", 4: "four"}
+    docs = spark.createDataFrame([(k, t, len(t)) for k, t in rows], "doc_id long, text string, n_chars long")
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines_stage(spark, docs, "").collect()} == want
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.clean_sha256 for r in op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in want.items()}
+
+
 # sharding
 
 def test_shards(spark, docs, texts, empty):

@@ -5,7 +5,7 @@ tokens with variable fields (tokens with digits) generalised.  In a leaf that
 several documents reach, a token that recurs at its place is a constant of the
 template, any other token a field.  A line whose tokens are mostly constants
 follows the template; a line that is mostly fields, or half of it, is a template
-of its own.
+of its own, which equal lines of any length and place share.
 A template that enough documents share is kept in the document with the
 smallest id and dropped from the others.
 
@@ -24,6 +24,10 @@ from tourlog.llm.storage import written
 
 FIELD = "<*>"
 DEPTH = 3
+# letters of scripts that set no space between words, and how many of them make
+# up a line that is long enough
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+MIN_UNSPACED = 8
 
 
 def _tokens(line: Column) -> Column:
@@ -45,12 +49,22 @@ def _leaf(lines: DataFrame, min_tokens: int) -> DataFrame:
     return at.withColumn("leaf", F.xxhash64(F.size("tokens"), F.transform(F.slice("tokens", 1, DEPTH), _masked)))
 
 
-def line_templates(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, similarity: float = 0.8) -> DataFrame:
+def _equal_lines(docs: DataFrame, min_equal: int, min_tokens: int) -> DataFrame:
+    """Lines that are in ``min_equal`` documents byte by byte: (line_hash, template, first_id, n_docs)."""
+    long_enough = (F.size(_tokens(F.col("line"))) >= min_tokens) | F.col("line").rlike(f"(?:[{UNSPACED}][^{UNSPACED}]*){{{MIN_UNSPACED}}}")
+    hashed = _lines(docs).where(long_enough).select("id", F.xxhash64("line").alias("line_hash"))
+    counts = hashed.groupBy("line_hash").agg(F.count(F.lit(1)).alias("n_docs"), F.min("id").alias("first_id")).where(F.col("n_docs") >= min_equal)
+    return counts.select("line_hash", F.col("line_hash").cast("string").alias("template"), "first_id", "n_docs")
+
+
+def line_templates(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, similarity: float = 0.8, min_equal: int | None = None) -> DataFrame:
     """Lines of recurring templates: (line_hash, template, first_id, n_docs).
 
     n_docs counts documents and line pairs of the template, first_id is the
-    smallest id (null if only rows without id have it).
+    smallest id (null if only rows without id have it).  A line that follows no
+    template of ``min_docs`` is one of its own, which takes ``min_equal``.
     """
+    equal = _equal_lines(docs, min_equal or min_docs, min_tokens)
     lines = _leaf(_lines(docs), min_tokens)
     counts = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
     counts = written(counts, "leaves")
@@ -70,22 +84,28 @@ def line_templates(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, simi
     )
     follows = (F.col("constants") >= similarity * F.col("plain")) & (2 * F.col("constants") >= F.size("parts"))
     general = F.array_join(F.transform("parts", lambda p: p["token"]), " ")
-    own = F.col("line_hash").cast("string")
-    forms = forms.select("leaf", "line_hash", "n", "first_id", F.when(follows, general).otherwise(own).alias("template"))
+    forms = forms.where(follows).select("leaf", "line_hash", "n", "first_id", general.alias("template"))
     groups = forms.groupBy("leaf", "template").agg(F.sum("n").alias("n_docs"), F.min("first_id").alias("first_id")).where(F.col("n_docs") >= min_docs)
-    return forms.select("leaf", "template", "line_hash").join(groups, ["leaf", "template"]).select("line_hash", "template", "first_id", "n_docs")
+    shared = forms.select("leaf", "template", "line_hash").join(groups, ["leaf", "template"]).select("line_hash", "template", "first_id", "n_docs")
+    # the template goes before the equal lines that follow it
+    every = shared.withColumn("order", F.lit(0)).unionByName(equal.withColumn("order", F.lit(1)))
+    best = every.groupBy("line_hash").agg(F.min(F.struct("order", "template", "first_id", "n_docs")).alias("best"))
+    return best.select("line_hash", "best.template", "best.first_id", "best.n_docs")
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, similarity: float = 0.8) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, similarity: float = 0.8, min_equal: int | None = None) -> DataFrame:
     """``docs`` (doc_id, text and others) with clean_text, n_lines and n_dropped.
 
+    A template takes ``min_docs`` documents, a line that is equal byte by byte
+    ``min_equal`` (as many if not given).
     A null text counts as empty and gives an empty clean_text.  Lines of fewer
-    than ``min_tokens`` tokens always stay, so do all lines of the document
+    than ``min_tokens`` tokens stay, unless they have MIN_UNSPACED letters of
+    scripts without spaces and are equal; so do all lines of the document
     with the smallest id of their template; rows without an id come after all
     others and count as one document.  Rows that repeat a doc_id are one
     document.  Lines that stay keep their bytes and order.
     """
-    drops = line_templates(docs, min_docs, min_tokens, similarity)
+    drops = line_templates(docs, min_docs, min_tokens, similarity, min_equal)
     hashed = _lines(docs).select("id", F.xxhash64("line").alias("line_hash"))
     hit = hashed.join(drops.select("line_hash", "first_id"), "line_hash").where(~F.col("id").eqNullSafe(F.col("first_id")))
     per_doc = hit.groupBy("id").agg(F.collect_set("line_hash").alias("line_drops")).withColumnRenamed("id", "line_id")
