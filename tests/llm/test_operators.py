@@ -286,6 +286,22 @@ def test_equal_lines_of_two_documents(spark, tmp_path):
     assert got == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in want.items()}
 
 
+@pytest.mark.parametrize("times", [1, 3])
+def test_line_templates_of_large_leaves(spark, times):
+    """A template of few names and days is one at any size, next to a rarer one and to prose of the same leaf."""
+    days = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split()
+    names = [f"Name{chr(97 + k)}" for k in range(20)]
+    lines = [f"Share this article about the local news with {n} on {d}" for n in names for d in days] * times
+    lines += [f"Share this article about our own town with {n} on {d}" for n in names[:6] for d in days[:3]] * times
+    rng = random.Random(4)
+    prose = ["Share this article " + " ".join(rng.choice(BASE[:20]) for _ in range(8)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(lines + prose)), "doc_id long, text string")
+    got = {r.doc_id: r.clean_text for r in line_dedup.line_dedup(docs).collect()}
+    # the rarer template is told by its most frequent field as well, the day
+    assert [k for k in range(len(lines)) if got[k]] == [0, *range(140 * times, 140 * times + 3)]
+    assert all(got[len(lines) + k] == t for k, t in enumerate(prose))
+
+
 # sharding
 
 def test_shards(spark, docs, texts, empty):

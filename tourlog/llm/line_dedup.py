@@ -2,10 +2,12 @@
 
 A line goes down a tree of fixed depth: number of tokens, then its leading
 tokens with variable fields (tokens with digits) generalised.  In a leaf that
-several documents reach, a token that recurs at its place is a constant of the
-template, any other token a field.  A line whose tokens are mostly constants
-follows the template; a line that is mostly fields, or half of it, is a template
-of its own, which equal lines of any length and place share.
+several documents reach, the tokens of a line are ranked by the number of lines
+that have them at their place: the first of them, as many as the share that must
+agree, are the constants of its template, all others fields.  Only the order of the
+numbers counts, so that the verdict is the same in a leaf of any size.  A line whose
+constants do not recur, or of which half is fields, is a template of its own, which
+equal lines of any length and place share.
 A template that enough documents share is kept in the document with the
 smallest id and dropped from the others.
 
@@ -70,21 +72,27 @@ def line_templates(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, simi
     counts = written(counts, "leaves")
     # equal lines combine in the map tasks; the join then drops what the bitmap let through
     texts = likely(lines, counts, "leaf").groupBy("leaf", F.xxhash64("line").alias("line_hash"), "line").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
-    texts = written(texts.join(counts, "leaf"), "leaf-lines")
-
-    at = texts.select("leaf", "line_hash", "n", "first_id", F.posexplode(F.transform(_tokens(F.col("line")), _masked)).alias("at", "token"))
-    # constants: tokens that enough documents have at this place of the leaf
-    constants = at.where(F.col("token") != FIELD).groupBy("leaf", "at", "token").agg(F.sum("n").alias("seen")).where(F.col("seen") >= min_docs).drop("seen")
-    marked = at.join(constants.withColumn("constant", F.lit(True)), ["leaf", "at", "token"], "left")
-    fixed = F.col("constant").isNotNull()
-    forms = marked.groupBy("leaf", "line_hash", "n", "first_id").agg(
-        F.array_sort(F.collect_list(F.struct("at", F.when(fixed, F.col("token")).otherwise(FIELD).alias("token")))).alias("parts"),
-        F.sum(fixed.cast("int")).alias("constants"),
-        F.sum((F.col("token") != FIELD).cast("int")).alias("plain"),
+    # sizes are written with the texts: beside the inline they would be worked out for each token
+    width, plain = F.size(_tokens(F.col("line"))), F.size(F.filter(_tokens(F.col("line")), lambda t: ~t.rlike("[0-9]")))
+    texts = written(texts.join(counts, "leaf").withColumns({"width": width, "plain": plain}), "leaf-lines")
+
+    tokens = F.filter(F.transform(_tokens(F.col("line")), lambda t, k: F.struct(k.alias("at"), t.alias("token"))), lambda p: ~p["token"].rlike("[0-9]"))
+    at = texts.select("leaf", "line_hash", "n", "first_id", "width", "plain", F.inline(tokens))
+    # how many lines have a token at its place in the leaf; fewer than min_docs are in no template
+    often = at.groupBy("leaf", "at", "token").agg(F.sum("n").alias("seen")).where(F.col("seen") >= min_docs)
+    forms = at.join(often, ["leaf", "at", "token"]).groupBy("leaf", "line_hash", "n", "first_id", "width", "plain").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("seen")).alias("rank"), "at", "token"))).alias("parts")
     )
-    follows = (F.col("constants") >= similarity * F.col("plain")) & (2 * F.col("constants") >= F.size("parts"))
-    general = F.array_join(F.transform("parts", lambda p: p["token"]), " ")
-    forms = forms.where(follows).select("leaf", "line_hash", "n", "first_id", general.alias("template"))
+    agree = F.ceil(similarity * F.col("plain")).cast("int")
+    forms = forms.where((F.size("parts") >= agree) & (2 * agree >= F.col("width")))
+    forms = forms.withColumn("parts", F.array_sort(F.transform(F.slice("parts", 1, agree), lambda p: F.struct(p["at"], p["token"]))))
+    gap = lambda n: F.repeat(F.lit(f"{FIELD} "), n.cast("int"))
+    before = lambda k: F.coalesce(F.get("parts", k - 1)["at"], F.lit(-1))
+    general = F.concat(
+        F.array_join(F.transform("parts", lambda p, k: F.concat(gap(p["at"] - before(k) - 1), p["token"])), " "),
+        F.repeat(F.lit(f" {FIELD}"), F.col("width") - 1 - F.element_at("parts", -1)["at"]),
+    )
+    forms = forms.select("leaf", "line_hash", "n", "first_id", general.alias("template"))
     groups = forms.groupBy("leaf", "template").agg(F.sum("n").alias("n_docs"), F.min("first_id").alias("first_id")).where(F.col("n_docs") >= min_docs)
     shared = forms.select("leaf", "template", "line_hash").join(groups, ["leaf", "template"]).select("line_hash", "template", "first_id", "n_docs")
     # the template goes before the equal lines that follow it
