@@ -74,7 +74,8 @@ def repeated_tails(docs: DataFrame) -> DataFrame:
     n = F.size(words)
     a = (g % n).cast("int")
     period = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
-    tail = F.transform(F.sequence(a, n - 1), lambda i: F.get(words, a + (i - a) % period))
+    # whole periods, then cut; a function over the places would split the text once a word
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, period), F.ceil((n - a) / period).cast("int"))), F.lit(1), n - a)
     text = F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")
     return docs.withColumn("text", F.when((h % 10 == 0) & (n > 0), text).otherwise(F.col("text")))
 
