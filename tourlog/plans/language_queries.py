@@ -9,6 +9,7 @@ from tourlog.functions import text as X
 from tourlog.operators import extraction as E
 from tourlog.operators import failures as FL
 from tourlog.operators import jobs as J
+from tourlog.operators import masking as MK
 from tourlog.operators import qa as Q
 from tourlog.operators import terms as TM
 from tourlog.operators import textunits as T
@@ -417,6 +418,82 @@ def mask_spans(i):
     return masked.select("unit_id", (restored == F.col("source_text")).alias("lossless"), F.size("tokens").alias("spans"))
 
 
+# texts with values of every kind that must survive: dates, identifiers, times, ordinals, measures, terms, plain numbers
+derived_view(
+    "guarded",
+    """
+select unit_id, concat(source_text, ' por BHA-', cast(o_custkey as string), ' a las 14H30, 2do. intento') as text from pairs
+""",
+    "pairs",
+)
+cte(
+    "guarded_values",
+    f"""
+select unit_id, [('Perfora hasta ', {_AC.replace('o_orderkey', 'unit_id')} || ' ft', 'measurement', -1, ''), (' con ', o_custkey || ',5 ppg', 'measurement', -1, ''),
+  (' y ', 'bombea', 'term', 1, '泵入'), (' ', o_custkey % 90 || ' bbl', 'measurement', -1, ''),
+  (' el ', {_DAY} || ' de mayo de 2001', 'calendar_date', -4, '2001-05-' || {_DAY2}), (', ', left(o_orderpriority, 1), 'number', 2, ''),
+  (substr(o_orderpriority, 2) || ' por ', 'BHA-' || o_custkey, 'technical_identifier', -2, ''), (' a las ', '14H30', 'technical_time', -1, ''),
+  (', ', '2do.', 'ordinal', -1, '')] as v from pairs
+""",
+    "pairs",
+)
+cte(
+    "guarded_spans",
+    """
+select unit_id, n, '[[P' || n || ']]' as token, stop - length(source) as start, stop, kind, priority, source,
+  case when replacement = '' then source else replacement end as replacement from (
+  select unit_id, unnest(range(0, 9)) as n, unnest(v) as s, s[1] as gap, s[2] as source, s[3] as kind, s[4] as priority, s[5] as replacement,
+    list_sum(list_transform(v[1:n + 1], lambda x: length(x[1]) + length(x[2])))::int as stop from guarded_values)
+""",
+    "guarded_values",
+)
+
+
+@view("guarded_spans")
+def guarded_spans(i):
+    texts = i.v("guarded")
+    spellings = i.spark.createDataFrame([("bombea", "泵入", 0)], "surface string, replacement string, place int")
+    wanted = TM.matches(texts.withColumnRenamed("unit_id", "text_hash"), spellings).withColumnRenamed("text_hash", "unit_id").drop("text")
+    return MK.chosen_spans(MK.candidate_spans(texts, MK.hard_rules("zh-CN", ("ft", "ppg", "bbl")), wanted))
+
+
+@query(
+    "protected_spans",
+    "select unit_id, n::int as n, token, start::int as start, stop, kind, priority, source, replacement from guarded_spans",
+    uses=("guarded_spans",),
+)
+def protected_spans(i):
+    """Of overlapping values of nine kinds the chosen ones, with what goes back for them."""
+    return i.v("guarded_spans")
+
+
+_MASKED = """'Perfora hasta [[P0]] con [[P1]] y [[P2]] [[P3]] el [[P4]], [[P5]]' || substr(o_orderpriority, 2) || ' por [[P6]] a las [[P7]], [[P8]] intento'"""
+
+
+@query("masked_texts", f"select unit_id, {_MASKED} as masked from pairs", uses=("pairs",))
+def masked_texts(i):
+    return MK.masked_texts(i.v("guarded"), i.v("guarded_spans")).select("unit_id", "masked")
+
+
+@query(
+    "restore_by_token",
+    f"""
+select unit_id, case when variant > 1 then '由BHA-' || o_custkey || '于14H30, 2DO次：钻进至' || {_AC.replace('o_orderkey', 'unit_id')} || ' ft，密度' || o_custkey || ',5 ppg，泵入 ' ||
+    (o_custkey % 90) || ' bbl，2001-05-' || {_DAY2} || ', ' || left(o_orderpriority, 1) end as restored,
+  case when variant > 1 then '' else 'model changed, removed, or duplicated protected placeholders' end as error
+from pairs
+""",
+    uses=("pairs",),
+)
+def restore_by_token(i):
+    """A model that moves tokens, glues them, and loses or doubles one in a third of the units; one replacement is changed on the way."""
+    texts = MK.masked_texts(i.v("guarded"), i.v("guarded_spans")).join(i.v("pairs").select("unit_id", "variant"), "unit_id")
+    good = "由[[P6]]于[[P7]]/[[P8]]次：钻进至[[P0]]，密度[[P1]]，[[P2]][[P3]]，[[P4]][[P5]]"
+    said = F.when(F.col("variant") == 0, good.replace("[[P3]]", "")).when(F.col("variant") == 1, good + "[[P3]]").otherwise(good)
+    kinds = i.v("guarded_spans").withColumn("replacement", F.when(F.col("kind") == "ordinal", "2DO").otherwise(F.col("replacement")))
+    return MK.restore_by_token(texts.select("unit_id", "masked", said.alias("translated")), kinds)
+
+
 @query(
     "restore_number_spelling",
     f"""
