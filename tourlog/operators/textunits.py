@@ -226,40 +226,6 @@ def module_row_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("record_id", "module_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-def greedy_chunks(items: DataFrame, max_chars: int, max_items: int = 12) -> DataFrame:
-    """Chunk number of each item, filled greedily in (record, group, place) order.
-
-    A report within both limits is one chunk; a larger one is split per context
-    group.  Greedy filling reads a group in order, so it runs as a fold inside
-    the group's partition; groups are first cut into blocks of rows (a block
-    always starts a new chunk), which bounds what one task holds.
-    """
-    totals = items.groupBy("record_id").agg(
-        F.sum("size").alias("_chars"), F.count(F.lit(1)).alias("_items"), F.min("group").alias("_first")
-    )
-    marked = items.join(totals, "record_id").withColumn(
-        "_whole", (F.col("_chars") <= max_chars) & (F.col("_items") <= max_items)
-    )
-    grouped = marked.withColumn("group", F.when(F.col("_whole"), F.col("_first")).otherwise(F.col("group")))
-    blocks = grouped.groupBy("record_id", "group", "block").agg(
-        F.array_sort(F.collect_list(F.struct("place", "unit_id", "size"))).alias("_list")
-    )
-    state = "struct<chunk:int,chars:bigint,n:int,out:array<struct<unit_id:string,chunk:int>>>"
-    start = F.struct(F.lit(0), F.lit(0).cast("bigint"), F.lit(0), F.array().cast("array<struct<unit_id:string,chunk:int>>")).cast(state)
-
-    def fill(acc, item):
-        full = (acc["n"] > 0) & ((acc["chars"] + item["size"] > max_chars) | (acc["n"] >= max_items))
-        chunk = acc["chunk"] + full.cast("int")
-        placed = F.array(F.struct(item["unit_id"].alias("unit_id"), chunk.alias("chunk")))
-        return F.struct(
-            chunk.alias("chunk"), (F.when(full, F.lit(0)).otherwise(acc["chars"]) + item["size"]).cast("bigint").alias("chars"),
-            (F.when(full, 0).otherwise(acc["n"]) + 1).cast("int").alias("n"), F.concat(acc["out"], placed).alias("out"),
-        ).cast(state)
-
-    folded = blocks.select("record_id", "group", "block", F.aggregate("_list", start, fill)["out"].alias("_out"))
-    return folded.select("record_id", "group", "block", F.inline("_out"))
-
-
 def split_parts(c: Column, max_chars: int) -> Column:
     """Cut a long text at sentence, word or hard limits into parts of ``max_chars``.
 

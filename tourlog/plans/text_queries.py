@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tourlog.functions import dims
 from tourlog.functions import scalars as S
 from tourlog.functions import text as X
+from tourlog.operators import chunks as CH
 from tourlog.operators import jobs as J
 from tourlog.operators import textunits as T
 from tourlog.plans.registry import cte, query, view
@@ -352,5 +353,39 @@ def greedy_chunks(i):
         F.col("conv_id").cast("string").alias("record_id"), F.col("role").alias("group"), F.col("turn").alias("place"),
         F.floor(F.col("turn") / 2048).alias("block"), F.col("turn").cast("string").alias("unit_id"), F.length("text").alias("size"),
     )
-    out = T.greedy_chunks(items, 1500)
+    out = CH.greedy_chunks(items, 1500)
     return out.select("record_id", F.col("group").alias("grp"), F.col("unit_id").cast("bigint").alias("turn"), "chunk")
+
+
+_SIZED = """
+select * from (with recursive sizes as (select d.doc_id, d.source as record_id, d.lang as grp,
+    length(d.text) + case when g.n is null then 2 else g.chars + 2 * g.n end as size
+  from documents d left join (select text_hash, count(*) as n, sum(length(source) + length(target) + length(type) + 40)::bigint as chars from glossary group by text_hash) g
+    on g.text_hash = sha256(d.text)),
+totals as (select record_id, sum(size) as chars, count(*) as n, min(grp) as first from sizes group by record_id),
+ordered as (select i.record_id, case when chars <= 6000 and n <= 12 then first else grp end as grp, doc_id, size,
+  row_number() over (partition by i.record_id, case when chars <= 6000 and n <= 12 then first else grp end order by doc_id) as k
+  from sizes i join totals t on t.record_id = i.record_id),
+walk(record_id, grp, k, doc_id, chunk, chars, cnt) as (
+  select record_id, grp, k, doc_id, 0, size, 1 from ordered where k = 1
+  union all
+  select o.record_id, o.grp, o.k, o.doc_id, case when w.chars + o.size > 6000 or w.cnt >= 12 then w.chunk + 1 else w.chunk end,
+    case when w.chars + o.size > 6000 or w.cnt >= 12 then o.size else w.chars + o.size end,
+    case when w.chars + o.size > 6000 or w.cnt >= 12 then 1 else w.cnt + 1 end
+  from walk w join ordered o on o.record_id = w.record_id and o.grp = w.grp and o.k = w.k + 1)
+select record_id, grp, doc_id, chunk from walk)
+"""
+
+
+@query("translation_chunks", _SIZED, uses=("glossary",))
+def translation_chunks(i):
+    """Whole documents as units of their source, with their glossaries counted, to requests of 6000 characters."""
+    listed = i.v("glossary").groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "target", "type"))).alias("l"))
+    listed = listed.select("text_hash", F.transform("l", lambda g: F.struct(g["source"].alias("source"), g["target"].alias("target"), g["type"].alias("type"))).alias("glossary"))
+    docs = i.t("documents").withColumn("text_hash", F.sha2("text", 256)).join(listed, "text_hash", "left")
+    items = docs.select(
+        F.col("source").alias("record_id"), F.col("lang").alias("group"), F.col("doc_id").alias("place"), F.floor(F.col("doc_id") / 2048).alias("block"),
+        F.col("doc_id").alias("unit_id"), CH.item_size(F.col("text"), F.col("glossary")).alias("size"),
+    )
+    out = CH.greedy_chunks(items, 6000)
+    return out.select("record_id", F.col("group").alias("grp"), F.col("unit_id").alias("doc_id"), "chunk")
