@@ -8,12 +8,15 @@ from tourlog.functions import scalars as S
 from tourlog.operators import logs as LG
 from tourlog.operators import ordering
 from tourlog.operators import terms as TM
+from tourlog.plans import quality_queries as QQ
 from tourlog.plans.fixtures import CONTRACTOR
 from tourlog.plans.registry import cte, query, view
 from tourlog.session import shared_dir
 from tourlog.sources import events as EV
 from tourlog.sources import payloads as PL
+from tourlog.streaming import intake as IN
 from tourlog.streaming import jobs as ST
+from tourlog.streaming.changelog import ChangeLog
 
 
 @view("job_events")
@@ -173,6 +176,70 @@ def report_arrival_stream(i):
     return out.select("record_id", "report_type", "wellbore", "report_date", "locked")
 
 
+def _arrivals(i):
+    """Three waves of reports: half with edited texts, a third as they were (some of an unknown type), a sixth once more."""
+    ops = i.v("numbered_operations")
+    edited = F.when(F.col("l_suppkey") % 40 == 0, F.concat("operation_details", F.lit(" edited"))).otherwise(F.col("operation_details"))
+    cells = ["from_time", "to_time", "hours", "op_code", "op_type"]
+    rows = ops.select("record_id", F.floor(F.col("row_no") / 1000).cast("int").alias("page"), "row_no", *cells, "operation_details", edited.alias("edited"))
+    row = lambda text: F.array_sort(F.collect_list(F.struct("row_no", *cells, F.col(text).alias("operation_details"))))
+    pages = rows.groupBy("record_id", "page").agg(row("operation_details").alias("plain"), row("edited").alias("edited"))
+    heads = i.v("records").join(i.v("headers").select("record_id", "fields"), "record_id").join(pages, "record_id", "left")
+    key = F.col("record_id").substr(F.lit(2), F.lit(20)).cast("bigint")
+    none = F.array().cast(f"array<struct<{IN.OPERATION}>>")
+    waves = []
+    for n, every, kind, text in (
+        (1, 2, F.col("report_type"), "edited"), (2, 3, F.when(key % 5 == 0, "unknown").otherwise(F.col("report_type")), "plain"),
+        (3, 6, F.when(key % 5 == 0, "unknown").otherwise(F.col("report_type")), "plain"),
+    ):
+        waves.append(
+            heads.filter(key % every == 0).select(
+                "record_id", kind.alias("report_type"), "rig", "wellbore", "report_date", "fields", F.coalesce(text, none).alias("operations"),
+                F.lit(n).cast("bigint").alias("arrival"), F.coalesce("page", F.lit(0)).alias("page"),
+            )
+        )
+    return waves
+
+
+@query(
+    "report_intake_stream",
+    f"""
+, t as (select r.*, substr(r.record_id, 2)::bigint as k, r.locked <> 'yes' and trim(r.rig) <> '' and trim(r.wellbore) <> '' and trim(r.report_date) <> '' as open
+  from records r),
+w as (select *, open and k % 2 = 0 as first, open and k % 3 = 0 and k % 5 <> 0 as second from t),
+o as (select record_id, count(*) as n_ops, count(*) filter (l_suppkey % 40 = 0) as marked, count(*) filter (upper(trim(op_type)) = 'NPT') as npt,
+  count(*) filter (upper(trim(op_type)) = 'NPT' and l_suppkey % 40 = 0) as npt_marked from operations group by record_id),
+v as (select distinct record_id from (({QQ._HEADER_RULES}) union all ({QQ._ROW_RULES})))
+select w.record_id, coalesce(n_ops, 0) as n_ops, case when first and not second then coalesce(marked, 0) else 0 end as edited,
+  case when first and marked > 0 then 'PENDING' else translation_status end as translation_status,
+  case when not first and not second then extraction_status when coalesce(npt, 0) = 0 then 'NOT_REQUIRED'
+    when extraction_version not in ('', 'v2') or (first and npt_marked > 0) then 'QUEUED' else extraction_status end as extraction_status,
+  case when not first and not second then validation_status when v.record_id is null then 'ok' else 'warning' end as validation_status
+from w left join o using (record_id) left join v using (record_id)
+""",
+    uses=("records", "field_base", "operations", "record_hours"),
+)
+def report_intake_stream(i):
+    """Headers, rows, rules and job states of reports that arrive in three runs; the second one compacts."""
+    log = ChangeLog(i.spark, shared_dir(i.spark, "reports"), IN.TABLES)
+    operations = i.v("numbered_operations").select(*IN.OPERATIONS.names)
+    lock = {c: F.lit("").alias(c) for c in IN.HEADERS.names if c.startswith("confirm")} | {"n_warnings": F.lit(0).cast("bigint").alias("n_warnings")}
+    known = i.v("records").join(i.v("headers").select("record_id", "fields"), "record_id").join(IN.signed(operations), "record_id", "left")
+    stored = known.select(*[lock.get(c, F.col(c)) for c in IN.HEADERS.names])
+    log.load({"headers": stored, "operations": operations, "warnings": i.spark.createDataFrame([], IN.WARNINGS)})
+    folder = shared_dir(i.spark, "arrivals")
+    for n, wave in enumerate(_arrivals(i)):
+        wave.write.parquet(f"{folder}/p{n}")
+        source = i.spark.readStream.schema(IN.ARRIVAL).parquet(f"{folder}/*")
+        IN.run_intake(source, log, IN.Policy(as_of=QQ.AS_OF, rule_version="v2", compact_after=2))
+    rows = log.state("operations").groupBy("record_id").agg(
+        F.count(F.lit(1)).alias("n_ops"), F.count_if(F.col("operation_details").endswith(" edited")).alias("edited")
+    )
+    states = ["translation_status", "extraction_status", "validation_status"]
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return log.state("headers").select("record_id", *states).join(rows, "record_id", "left").select("record_id", zero("n_ops"), zero("edited"), *states)
+
+
 # --- sources and sinks -----------------------------------------------------------------------------------
 
 
