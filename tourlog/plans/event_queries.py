@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from tourlog.functions import scalars as S
@@ -16,6 +18,7 @@ from tourlog.sources import events as EV
 from tourlog.sources import payloads as PL
 from tourlog.streaming import intake as IN
 from tourlog.streaming import jobs as ST
+from tourlog.streaming import timed as TD
 from tourlog.streaming.changelog import ChangeLog
 
 
@@ -240,6 +243,58 @@ def report_intake_stream(i):
     return log.state("headers").select("record_id", *states).join(rows, "record_id", "left").select("record_id", zero("n_ops"), zero("edited"), *states)
 
 
+# events in three waves by their number, so that most of a later wave is older than what came before
+cte(
+    "waved_events",
+    """
+select *, case event_id % 3 when 0 then false when 1 then ts < m[1] - interval 10 day else ts < greatest(m[1], m[2]) - interval 10 day end as late
+from job_events, (select [max(ts) filter (event_id % 3 = 0), max(ts) filter (event_id % 3 = 1)] as m from job_events)
+""",
+    "job_events",
+)
+
+
+def _waves(i, take):
+    folder = shared_dir(i.spark, "waves")
+    events = i.v("job_events").withColumn("time", F.col("ts").cast("timestamp")).withColumn("record_id", F.col("user_id").cast("string"))
+    rows = events.select("event_id", "record_id", "time", "event_type", "cents", F.col("generation").cast("bigint").alias("generation"))
+    for n in range(3):
+        rows.filter(F.col("event_id") % 3 == n).write.parquet(f"{folder}/p{n}")
+        take(i.spark.readStream.schema(rows.schema).parquet(f"{folder}/*"))
+
+
+@query(
+    "usage_late_stream",
+    """
+select strftime(ts, '%Y-%m-%d') as day, event_type, late, count(*) as n, sum(cents)::bigint as cents from waved_events group by all
+""",
+    uses=("waved_events",),
+)
+def usage_late_stream(i):
+    """Usage of three runs, in time and late: together they are the usage of all events."""
+    run = TD.TimedRun(i.spark, shared_dir(i.spark, "usage"), timedelta(days=10))
+    _waves(i, lambda stream: TD.count_usage(stream, run, compact_after=2))
+    late = run.read("late", "event_id bigint, time timestamp, event_type string, cents bigint")
+    aside = late.groupBy(F.date_format("time", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+    return TD.usage(run).withColumn("late", F.lit(False)).unionByName(aside.withColumn("late", F.lit(True)))
+
+
+@query(
+    "job_state_expiry_stream",
+    """
+select user_id::varchar as record_id, event_type, generation::bigint as generation from waved_events where not late
+qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1
+""",
+    uses=("waved_events",),
+)
+def job_state_expiry_stream(i):
+    """Latest state of every job from the events in time; jobs silent for five days are in the archive."""
+    run = TD.TimedRun(i.spark, shared_dir(i.spark, "jobs"), timedelta(days=10))
+    log = TD.state_log(i.spark, run.root, "event_id bigint, event_type string, generation bigint")
+    _waves(i, lambda stream: TD.keep_states(stream, run, log, timedelta(days=5), compact_after=2))
+    return TD.all_states(log).select("record_id", "event_type", "generation")
+
+
 # --- sources and sinks -----------------------------------------------------------------------------------
 
 
