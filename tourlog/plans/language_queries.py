@@ -160,19 +160,48 @@ def terms_import_diff(i):
     return TM.import_diff(i.v("term_candidates"), i.v("terms"))
 
 
+# the batch taken one by one, with the values stored so far
+_BATCH = f"""
+, c as (select cand_id, row_number() over (order by cand_id) as n,
+  list_filter([{", ".join(f"case when {x} <> '' then '{x}' || {_NORM.format(c=x)} end" for x in TM.LANGUAGES)}], lambda x: x is not null) as own
+  from fresh),
+walk(n, cand_id, stored, seen) as (
+  select 0::bigint, null::bigint, false, []::varchar[]
+  union all
+  select c.n, c.cand_id, not list_has_any(seen, own), case when list_has_any(seen, own) then seen else seen || own end from walk join c on c.n = walk.n + 1)
+"""
+
+
 @query(
     "terms_batch_firsts",
-    " union ".join([])
-    + f"""
-select c.cand_id from term_candidates c where not exists (select 1 from term_candidates o where o.cand_id < c.cand_id and (
-  {' or '.join(f"(c.{x} <> '' and {_NORM.format(c='c.' + x)} = {_NORM.format(c='o.' + x)})" for x in TM.LANGUAGES)}))
-""",
+    f"select * from (with recursive fresh as (select * from term_candidates){_BATCH} select cand_id from walk where stored)",
     uses=("term_candidates",),
 )
 def terms_batch_firsts(i):
     return TM.batch_firsts(i.v("term_candidates")).select("cand_id")
 
 
+_SAME3 = " + ".join(f"(case when c.{x} <> '' and {_NORM.format(c='c.' + x)} = {_NORM.format(c='t.' + x)} then 1 else 0 end)" for x in TM.LANGUAGES)
+
+
+@query(
+    "terms_import_batch",
+    f"""
+select * from (with recursive fresh as (select * from term_candidates c where not exists (select 1 from terms t where {_SAME3} > 0)){_BATCH},
+known as (select term_id, 0 as later, term_ord::bigint as at, zh, en, es from terms
+  union all select 'new:' || cand_id, 1, cand_id, zh, en, es from term_candidates where cand_id in (select cand_id from walk where stored)),
+best as (select c.cand_id, t.term_id, {_SAME3} as same from term_candidates c join known t on {_SAME3} > 0 and (later = 0 or t.at < c.cand_id)
+  qualify row_number() over (partition by c.cand_id order by same desc, later, t.at) = 1)
+select c.cand_id, t.term_id, coalesce(b.same, 0) as same,
+  case when t.term_id is null then 'new' when {_DIFFERS} then 'conflict' when {_FILLS} then 'fill' else 'duplicate' end as kind
+from term_candidates c left join best b on b.cand_id = c.cand_id left join known t on t.term_id = b.term_id)
+""",
+    uses=("term_candidates", "terms"),
+)
+def terms_import_batch(i):
+    return TM.import_batch(i.v("term_candidates"), i.v("terms"))
+
+
 @query(
     "resolve_term_import",
     """
