@@ -255,3 +255,59 @@ def split_parts(c: Column, max_chars: int) -> Column:
         ).cast(state)
 
     return F.aggregate(steps, start, peel)["parts"]
+
+
+def split_layout(c: Column, max_chars: int) -> Column:
+    """Parts of at most ``max_chars`` with the separator before each: array of struct(separator, text).
+
+    The tidied text is cut into atoms: lines, and pieces of longer lines that end at
+    the last sentence or list mark of their second half, else at the last blank,
+    else after ``max_chars``.  Atoms are packed greedily.  All parts with their
+    separators joined are the tidied text again.  One pattern cuts the whole text
+    in one pass.
+    """
+    half, most = max_chars // 2, max_chars
+    piece = (
+        rf"[^\n]{{1,{most}}}(?=\n|\z)"  # what is left of a line
+        rf"|[^\n]{{{half},{most - 1}}}(?:[.;?!](?= )|(?= [-+*]))"
+        rf"|[^\n]{{1,{most}}}(?= )"
+        rf"|[^\n]{{{most}}}"
+    )
+    pattern = F.lit(rf"(\n+| |)({piece})")
+
+    def parts(text):
+        cut = F.struct(F.regexp_extract_all(text, pattern, F.lit(1)).alias("before"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("atoms"))
+        return X.let(cut, lambda x: _packed(x["before"], x["atoms"], max_chars))
+
+    one = F.array(F.struct(F.lit("").alias("separator"), X.multiline(c).alias("text")))
+    return X.let(X.multiline(c), lambda t: F.when(F.length(t) > max_chars, parts(t)).otherwise(one))
+
+
+def _packed(before: Column, atoms: Column, max_chars: int) -> Column:
+    """Greedy parts of atoms; the fold only keeps the place at which each part begins."""
+    state = "struct<chars:int,place:int,starts:array<int>>"
+    begin = F.struct(F.lit(0), F.lit(0), F.array().cast("array<int>")).cast(state)
+
+    def step(acc, a):
+        longer = acc["chars"] + F.length(a["before"]) + F.length(a["atoms"])
+        new = (acc["place"] == 0) | (longer > max_chars)
+        return F.struct(
+            F.when(new, F.length(a["atoms"])).otherwise(longer).alias("chars"), (acc["place"] + 1).alias("place"),
+            F.when(new, F.concat(acc["starts"], F.array(acc["place"]))).otherwise(acc["starts"]).alias("starts"),
+        ).cast(state)
+
+    def part(starts, s, k):
+        size = F.coalesce(F.get(starts, k + 1), F.size(atoms)) - s
+        # the separator before a part is not in it
+        inner = F.concat(F.array(F.lit("")), F.slice(before, s + 2, size - 1))
+        text = F.array_join(F.zip_with(inner, F.slice(atoms, s + 1, size), lambda b, a: F.concat(b, a)), "")
+        return F.struct(F.when(k == 0, "").otherwise(F.get(before, s)).alias("separator"), text.alias("text"))
+
+    folded = F.aggregate(F.arrays_zip(before.alias("before"), atoms.alias("atoms")), begin, step)["starts"]
+    return X.let(folded, lambda starts: F.transform(starts, lambda s, k: part(starts, s, k)))
+
+
+def join_layout(parts: Column, translated: Column) -> Column:
+    """Translated texts of all parts, in order, with the separators of their parts."""
+    texts = F.transform(translated, X.multiline)
+    return X.multiline(F.array_join(F.zip_with(parts, texts, lambda p, t: F.concat(p["separator"], t)), ""))

@@ -144,12 +144,54 @@ def clean_source(i):
     return out.select("doc_id", "c.text", F.array_join("c.actions", ",").alias("actions"))
 
 
-@query("split_text_parts")
+def _last(marker: str) -> str:
+    """Place (from 0) of the last ``marker`` in the window, -1 if there is none."""
+    return f"case when contains(win, '{marker}') then length(win) - strpos(reverse(win), '{marker[::-1]}') - {len(marker)} + 1 else -1 end"
+
+
+_MARKS = ", ".join(_last(m) for m in (". ", "; ", "? ", "! ", " -", " +", " *"))
+_SPLIT = f"""
+with recursive tidy as (
+  select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\f\x0B]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'),
+    ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(12288)) as t from documents),
+cuts(doc_id, t, k, p, sep, atom) as (
+  select doc_id, t, 0, 1::bigint, '', '' from tidy where length(t) > 2000
+  union all
+  select doc_id, t, k + 1, place + length(atom), sep, atom from (
+    select *, case when length(line) <= 2000 then line else substr(win, 1, case when mark >= 1000 then mark + 1 when blank > 0 then blank else 2000 end) end as piece,
+      rtrim(piece, ' ') as atom from (
+    select *, greatest({_MARKS}) as mark, {_last(" ")} as blank from (
+      select *, p + length(sep) as place, regexp_extract(substr(t, p + length(sep), 2001), '^[^\n]*') as line, line as win from (
+        select doc_id, t, k, p, case when substr(t, p, 1) = ' ' then ' ' when substr(t, p, 1) = chr(10) then regexp_extract(substr(t, p, 2000), '^\n+') else '' end as sep
+        from cuts where p <= length(t)))))),
+atoms as (select * from cuts where k > 0),
+packs(doc_id, k, part_no, chars, sep, part) as (
+  select doc_id, 1, 0, length(atom), '', atom from atoms where k = 1
+  union all
+  select a.doc_id, a.k, p.part_no + case when p.chars + length(a.sep) + length(a.atom) > 2000 then 1 else 0 end,
+    case when p.chars + length(a.sep) + length(a.atom) > 2000 then length(a.atom) else p.chars + length(a.sep) + length(a.atom) end,
+    case when p.chars + length(a.sep) + length(a.atom) > 2000 then a.sep else p.sep end,
+    case when p.chars + length(a.sep) + length(a.atom) > 2000 then a.atom else p.part || a.sep || a.atom end
+  from packs p join atoms a on a.doc_id = p.doc_id and a.k = p.k + 1)
+select doc_id, 0 as part_no, '' as separator, t as part from tidy where length(t) <= 2000
+union all
+select doc_id, part_no, any_value(sep), max_by(part, k) from packs group by doc_id, part_no
+"""
+
+
+@query("split_text_parts", _SPLIT)
 def split_text_parts(i):
-    """Long documents cut to parts of at most 2000 characters, lossless but for blanks at cuts."""
-    line = X.paragraph(F.col("text"))
-    parts = i.t("documents").select("doc_id", F.posexplode(T.split_parts(line, 2000)).alias("part_no", "part"))
-    return parts.select("doc_id", "part_no", F.length("part").alias("n"))
+    """Whole documents in parts of at most 2000 characters with the separators between them."""
+    parts = i.t("documents").select("doc_id", F.posexplode(T.split_layout(F.col("text"), 2000)).alias("part_no", "p"))
+    return parts.select("doc_id", "part_no", "p.separator", F.col("p.text").alias("part"))
+
+
+@query("split_lossless", "select doc_id, true as whole from documents")
+def split_lossless(i):
+    """Documents cut at 300 characters and joined again are the tidied documents."""
+    parts = T.split_layout(F.col("text"), 300)
+    joined = X.let(parts, lambda p: F.array_join(F.transform(p, lambda x: F.concat(x["separator"], x["text"])), ""))
+    return i.t("documents").select("doc_id", (joined == X.multiline(F.col("text"))).alias("whole"))
 
 
 # --- memory --------------------------------------------------------------------------------------
