@@ -110,9 +110,31 @@ def glossary_match(i):
     return i.v("glossary")
 
 
-@query("preserve_terms")
+_VERBS = "INGRESAN|INGRESA|FILTRA|PERFORA|BOMBEA|CIRCULA|DESPLAZA|RECUPERA|BAJA|SACA"
+_SPELLED = f"(?:^|{_EDGE})(' || replace(regexp_escape(surface), '\\ ', '\\s+') || ')(?:$|{_EDGE})"
+
+
+@query(
+    "preserve_terms",
+    f"""
+, listed as (select distinct sha256(text) as text_hash, text from documents),
+wanted(surface, place, flags) as (values ('ROP', 0, ''), ('BOP', 1, ''), ('API', 2, ''), ('The', 3, '(?i)'), ('und', 4, '(?i)')),
+named as (
+  select text_hash, surface, 0 as tier, place, regexp_extract(text, flags || '{_SPELLED}', 1) as term from listed, wanted
+  union all
+  select l.text_hash, surface, 1, term_ord, regexp_extract(text, '(?i){_SPELLED}', 1) from listed l join term_hits h on h.text_hash = l.text_hash where strict_preserve),
+free as (select text_hash, term, tier, place from named n where term <> '' and (tier = 1 or not exists (
+  select 1 from glossary g where g.text_hash = n.text_hash and lower(g.source) = lower(n.surface) and lower(g.source) <> lower(g.target)))),
+runs as (select text_hash, unnest(l) as term, unnest(range(len(l))) as place from (
+  select text_hash, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9#_-]+'),
+    lambda r: regexp_extract(r, '(?:^|[#-])([A-Za-z][A-Za-z0-9#-]{{3,}})', 1)), lambda r: regexp_matches(r, '[0-9]')) as l from listed)),
+spans as (select * from free union all select text_hash, term, 2, place from runs where not regexp_matches(term, '(?i)^(?:{_VERBS})[0-9]{{4,}}$')),
+first as (select text_hash, term, min((tier, place)) as spot from spans group by all)
+select text_hash, term, row_number() over (partition by text_hash order by spot, term) as rank from first qualify rank <= 40
+""",
+    uses=("glossary",),
+)
 def preserve_terms(i):
-    """Identifier patterns need look-around, which the check engine lacks."""
     words = [("ROP", 0, True), ("BOP", 1, True), ("API", 2, True), ("The", 3, False), ("und", 4, False)]
     protected = i.spark.createDataFrame(words, "surface string, place int, case_sensitive boolean")
     return TM.preserve_terms(i.v("doc_texts"), protected, i.v("terms"), i.v("glossary"))
@@ -482,7 +504,7 @@ select unit_id, n, '[[P' || n || ']]' as token, stop - length(source) as start,
 def guarded_spans(i):
     texts = i.v("guarded")
     spellings = i.spark.createDataFrame([("bombea", "泵入", 0)], "surface string, replacement string, place int")
-    wanted = TM.matches(texts.withColumnRenamed("unit_id", "text_hash"), spellings).withColumnRenamed("text_hash", "unit_id").drop("text")
+    wanted = TM.matches(texts.withColumnRenamed("unit_id", "text_hash"), spellings).withColumnRenamed("text_hash", "unit_id")
     return MK.chosen_spans(MK.candidate_spans(texts, MK.hard_rules("zh-CN", ("ft", "ppg", "bbl")), wanted))
 
 
