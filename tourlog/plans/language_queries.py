@@ -8,6 +8,7 @@ from tourlog.functions import scalars as S
 from tourlog.functions import text as X
 from tourlog.operators import extraction as E
 from tourlog.operators import failures as FL
+from tourlog.operators import inference as INF
 from tourlog.operators import jobs as J
 from tourlog.operators import masking as MK
 from tourlog.operators import qa as Q
@@ -796,3 +797,44 @@ def infer_noop(i):
     """The model seam with an identity engine over Arrow batches."""
     rows = i.v("pairs").select("unit_id", F.col("source_text").alias("result"))
     return E.infer(rows, lambda frame: frame, "unit_id long, result string")
+
+
+def careless_model(items: list[dict], attempt: int) -> dict[int, str]:
+    """Stands for a model: forgets units, and loses the numbers of one unit in ten, for good in one of twenty."""
+    import re
+
+    said = {}
+    for item in items:
+        text = item["source_text"].replace("Perfora hasta", "钻进至").replace(" y bombea ", "，泵入 ")
+        n = item["unit_id"]
+        if n % 7 == 0 and attempt == 0:
+            continue
+        if n % 10 == 0 and (attempt == 0 or n % 20 == 0):
+            text = re.sub(r"(?<![P0-9])[0-9]+", "", text)
+        said[n] = text
+    return said
+
+
+def _number_gate(pairs):
+    return Q.numbers(pairs, "es").unionByName(Q.unchanged(pairs))
+
+
+@query(
+    "infer_chunks",
+    """
+select unit_id, case when unit_id % 20 = 0 then 3 when unit_id % 10 = 0 or unit_id % 7 = 0 then 2 else 1 end as attempts,
+  case when unit_id % 20 = 0 then 'FAILED' else 'COMPLETED' end as status,
+  case when unit_id % 20 = 0 then 'model changed numeric values' else '' end as reason,
+  case when unit_id % 20 <> 0 then replace(replace(source_text, 'Perfora hasta', '钻进至'), ' y bombea ', '，泵入 ') end as translated_text
+from pairs
+""",
+    uses=("pairs",),
+)
+def infer_chunks(i):
+    """Requests per customer, masked units of measure, a careless model, the number check, and two repeats."""
+    units = i.v("pairs").select(
+        "unit_id", F.col("o_custkey").cast("string").alias("record_id"), F.lit("operations").alias("group"),
+        F.floor(F.col("unit_id") / 2048).alias("block"), F.col("unit_id").alias("place"), "source_text",
+    )
+    out = INF.translate_units(units, careless_model, _number_gate, max_chars=600, rules=MK.context_rules("zh-CN", ("ft", "ppg", "bbl")))
+    return out.select("unit_id", "attempts", "status", F.substring_index("error", ";", 1).alias("reason"), "translated_text")
