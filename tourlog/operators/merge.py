@@ -68,8 +68,10 @@ def replace_detail_rows(rows: DataFrame, batch_ids: DataFrame, new_rows: DataFra
 
     ``batch_ids`` has (record_id, report_type); ``declared`` the modules of each type.
     """
-    kept = rows.join(batch_ids, "record_id", "left_anti")
-    fresh = new_rows.join(batch_ids, "record_id").join(declared, ["report_type", "module_name"], "left_semi")
+    # an id that comes twice in a batch replaces its rows once
+    ids = batch_ids.groupBy("record_id").agg(F.max("report_type").alias("report_type"))
+    kept = rows.join(ids, "record_id", "left_anti")
+    fresh = new_rows.join(ids, "record_id").join(declared, ["report_type", "module_name"], "left_semi")
     return kept.unionByName(fresh.select(*rows.columns))
 
 
@@ -111,6 +113,9 @@ def revise_translations(content: DataFrame, revisions: DataFrame, now: str) -> t
     """
     keys = ["record_id", "entity_id", "field_code", "target_language"]
     wanted = revisions.withColumn("revised_text", S.trimmed(F.col("revised_text"))).filter("revised_text <> ''")
+    # of revisions of one text the last one counts: by ``order`` if there is one
+    order = [c for c in ("order",) if c in revisions.columns] or ["revised_text"]
+    wanted = last_per_key(wanted, keys, order)
     joined = content.join(wanted.select(*keys, "revised_text", "editor", "note"), keys, "left")
     hit = F.col("revised_text").isNotNull()
     new = {
@@ -174,6 +179,24 @@ def replace_language_slice(content: DataFrame, fresh: DataFrame, language: str)
     return kept.unionByName(fresh.select(*content.columns))
 
 
+def backfill(
+    records: DataFrame, rows: DataFrame, legacy: DataFrame, legacy_rows: DataFrame, declared: DataFrame, order: list[str], report_type: str = ""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, rows, failures) after a copy of a legacy store, whole or of one type.
+
+    Legacy reports without id or type are passed by.  Others are saved one after
+    another by ``order``: what is refused is a failure with its reason and stops
+    nothing, the rest replaces header values and all detail rows.
+    """
+    named = legacy.filter(~S.blank(F.col("record_id")) & ~S.blank(F.col("report_type")))
+    if report_type:
+        named = named.filter(F.col("report_type") == report_type)
+    good, bad = split_batch(records, last_per_key(named, ["record_id"], order))
+    merged = upsert_records(records, good.drop(*order))
+    details = replace_detail_rows(rows, good.select("record_id", "report_type"), legacy_rows, declared)
+    return merged, details, bad.select("record_id", "reason")
+
+
 def declared_modules(spark) -> DataFrame:
     """Detail modules that each report type stores."""
     # fixed values: modules per report type

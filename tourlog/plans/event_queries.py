@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tourlog.functions import scalars as S
@@ -16,6 +18,7 @@ from tourlog.plans.registry import cte, query, view
 from tourlog.session import shared_dir
 from tourlog.sources import events as EV
 from tourlog.sources import payloads as PL
+from tourlog.sources import structured as SR
 from tourlog.streaming import intake as IN
 from tourlog.streaming import jobs as ST
 from tourlog.streaming import timed as TD
@@ -445,6 +448,99 @@ def structured_tables_sink(i):
     return out
 
 
+_FIELD_CELLS = ", ".join(f"('{name}', {col})" for name, col in sorted(QQ.HEADER_FIELDS.items()))
+_ROW_CELLS = "from_time || '|' || hours || '|' || op_code || '|' || operation_details"
+
+
+def _report_texts(i):
+    """Reports as JSON texts, one in fifty cut short, one in fifty empty of content."""
+    pages = PL.payload_pages(i.v("headers").select("record_id", "fields"), i.v("report_rows"), page_size=1_000_000)
+    meta = F.create_map(F.lit("record_id"), F.col("record_id"), F.lit("report_type"), F.lit("move"))
+    modules = [F.try_element_at("modules", F.lit(m)).alias(m) for m in ("operations", "bulks")]
+    text = F.to_json(F.struct(meta.alias("metadata"), F.col("fields").alias("report_fields"), *modules))
+    key = F.col("record_id").substr(F.lit(2), F.lit(20)).cast("bigint")
+    return pages.select("record_id", F.when(key % 50 == 7, F.substring(text, 1, 40)).when(key % 50 == 8, "{}").otherwise(text).alias("text"))
+
+
+@query(
+    "structured_tables",
+    f"""
+, t as (select r.*, f.* exclude (record_id, report_type, wellbore, rig, event, report_date), substr(r.record_id, 2)::bigint % 50 as k
+  from records r join field_base f on f.record_id = r.record_id),
+g as (select * from t where k not in (7, 8)),
+cells as (select record_id, unnest(range(1, {len(QQ.HEADER_FIELDS) + 1})) as row_no, unnest([{_FIELD_CELLS}]) as c from g)
+select 'report_fields' as table_name, record_id, row_no::int as row_no, c[1] || '=' || c[2] as cells from cells
+union all select 'metadata', record_id, unnest([1, 2]), unnest(['record_id=' || record_id, 'report_type=move']) from g
+union all select case when l_suppkey % 4 = 3 then 'bulks' else 'operations' end, o.record_id, row_no, {_ROW_CELLS} from operations o join g on g.record_id = o.record_id
+union all select 'parse_warnings', record_id, row_number() over (partition by record_id order by n), w from (
+  select record_id, unnest(['wellbore missing', 'rig missing']) as w, unnest([trim(wellbore) = '', trim(rig) = '']) as is_on, unnest([1, 2]) as n from g) where is_on
+union all select 'failures', record_id, 0, case when k = 7 then 'not a JSON object' else 'no report in it' end from t where k in (7, 8)
+""",
+    uses=("records", "field_base", "operations"),
+)
+def structured_tables(i):
+    """All tables of the reports, written in one job and read back one by one."""
+    path = shared_dir(i.spark, "structured")
+    SR.write_routed(SR.route_reports(_report_texts(i), "record_id", "text"), path)
+    joined = lambda sep, *c: F.concat_ws(sep, *c).alias("cells")
+    shown = {
+        "report_fields": (["field", "value"], joined("=", "field", "value")), "metadata": (["key", "value"], joined("=", "key", "value")),
+        "parse_warnings": (["warning"], joined("", "warning")), "failures": (["reason"], joined("", "reason")),
+    }
+    row = ["from", "hours", "op_code", "operation_details"]
+    shown |= {m: (row, joined("|", *[F.coalesce(c, F.lit("")) for c in row])) for m in ("operations", "bulks")}
+    parts = [
+        SR.read_table(i.spark, path, name, columns).select(F.lit(name).alias("table_name"), "record_id", "row_no", cells) for name, (columns, cells) in shown.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "json_lines_source",
+    "select record_id, case when l_suppkey % 4 = 3 then 'bulks' else 'operations' end as module_name, row_no, operation_details from operations "
+    "where substr(record_id, 2)::bigint % 50 not in (7, 8)",
+    uses=("operations",),
+)
+def json_lines_source(i):
+    """Files with a report per line, some of them cut short: every whole report comes back."""
+    path = shared_dir(i.spark, "reports")
+    _report_texts(i).select(F.col("text").alias("value")).write.text(path)
+    payloads = PL.read_payload_files(i.spark, path, lines=True).filter(F.try_element_at("metadata", F.lit("record_id")).isNotNull())
+    _, _, rows = PL.shred(payloads)
+    return rows.select("record_id", "module_name", "row_no", F.col("row")["operation_details"].alias("operation_details"))
+
+
+@query(
+    "fetch_payloads",
+    """
+select r.record_id, r.event || case when substr(r.record_id, 2)::bigint % 14 = 0 then ' 译' else '' end as event, coalesce(o.details, '') as operations from records r
+left join (select record_id, string_agg(operation_details || case when row_no % 2 = 0 then ' 译' else '' end, '|' order by row_no) as details
+  from operations where l_suppkey % 4 <> 3 group by 1) o on o.record_id = r.record_id
+where substr(r.record_id, 2)::bigint % 7 = 0
+""",
+    uses=("records", "operations"),
+)
+def fetch_payloads(i):
+    """One report in seven, asked for twice, with the translations of even rows and of every second header."""
+    heads = i.v("headers").select("record_id", "fields")
+    key = F.col("record_id").substr(F.lit(2), F.lit(20)).cast("bigint")
+    ids = i.v("records").filter(key % 7 == 0).select("record_id")
+    place = [F.lit("operation_details").alias("field"), F.lit("zh").alias("target_language")]
+    rows = i.v("report_rows").filter("row_no % 2 = 0").select(
+        "record_id", "module_name", "row_no", *place, F.concat(F.col("row")["operation_details"], F.lit(" 译")).alias("translated_text")
+    )
+    top = heads.filter(key % 14 == 0).select(
+        "record_id", F.lit("report_fields").alias("module_name"), F.lit(0).alias("row_no"), F.lit("event").alias("field"), F.lit("zh-CN").alias("target_language"),
+        F.concat(F.col("fields")["event"], F.lit(" 译")).alias("translated_text"),
+    )
+    other = rows.withColumn("target_language", F.lit("es")).withColumn("translated_text", F.lit("no"))
+    pages = PL.fetch_payloads(heads, i.v("report_rows"), ids.union(ids), rows.unionByName(top).unionByName(other), "zh-CN", page_size=1_000_000)
+    listed = F.coalesce(F.try_element_at("modules", F.lit("operations")), F.array().cast("array<map<string,string>>"))
+    return pages.select(
+        "record_id", F.col("fields")["event"].alias("event"), F.array_join(F.transform(listed, lambda r: r["operation_details"]), "|").alias("operations")
+    )
+
+
 # --- small set operations -----------------------------------------------------------------------------------
 
 

@@ -111,6 +111,35 @@ select record_id, case l_suppkey % 4 when 0 then 'operations' when 1 then 'bulks
 )
 
 
+@query(
+    "backfill_merge",
+    "," + _INCOMING + """
+, taken as (select * from checked where reason is null and report_type = 'move'),
+kept as (select record_id, module_name, row_no, body from stored_modules where record_id not in (select record_id from taken)
+  union all select m.record_id, module_name, row_no, 'legacy ' || body from stored_modules m join taken n on n.record_id = m.record_id where module_name = 'operations')
+select coalesce(r.record_id, n.record_id) as record_id, coalesce(n.report_type, r.report_type) as report_type, coalesce(n.wellbore, r.wellbore) as wellbore,
+  coalesce(k.bodies, '') as bodies, '' as reason
+from records r full join taken n on n.record_id = r.record_id
+left join (select record_id, string_agg(module_name || row_no || body, '|' order by module_name, row_no) as bodies from kept group by 1) k
+  on k.record_id = coalesce(r.record_id, n.record_id)
+union all select record_id, '', '', '', reason from checked where reason is not null and reason <> 'missing id' and report_type = 'move'
+""",
+    uses=("records", "incoming_reports", "stored_modules"),
+)
+def backfill_merge(i):
+    """Reports of one type of a legacy store, headers and rows, merged into the stored tables; refused ones listed."""
+    rows = i.v("stored_modules")
+    legacy = i.v("incoming_reports")
+    again = legacy.withColumn("wellbore", F.lit("earlier")).withColumn("ord", F.col("ord") - 1_000_000_000)
+    old = rows.withColumn("body", F.concat(F.lit("legacy "), "body"))
+    records, details, failures = M.backfill(_stored(i), rows, legacy.unionByName(again), old, M.declared_modules(i.spark), ["ord"], "move")
+    listed = F.array_sort(F.collect_list(F.struct("module_name", "row_no", F.concat("module_name", F.col("row_no").cast("string"), "body").alias("b"))))
+    bodies = details.groupBy("record_id").agg(F.array_join(F.transform(listed, lambda x: x["b"]), "|").alias("bodies"))
+    none = [F.lit("").alias(c) for c in ("report_type", "wellbore", "bodies")]
+    heads = records.join(bodies, "record_id", "left").select("record_id", "report_type", "wellbore", F.coalesce("bodies", F.lit("")).alias("bodies"), F.lit("").alias("reason"))
+    return heads.unionByName(failures.select("record_id", *none, "reason"))
+
+
 @query(
     "replace_detail_rows",
     """
