@@ -91,3 +91,14 @@ def test_section_ends_at_three_blank_rows(spark):
     cells.append((1, "s", 3, 6, "more"))
     out = D.grid_table(spark.createDataFrame(cells, "doc int, sheet string, row int, col int, value string"), D.GRID_OPERATIONS)
     assert sorted(r.operation_details for r in out.collect()) == ["one\nmore", "two"]
+
+
+def test_blocks_are_cut_at_their_labels(spark):
+    """A block over line 256 is one, text before a stop label stays, start and stop may share a line."""
+    rows = [(1, 1, 254, "Ops: one"), (1, 1, 255, "two"), (1, 1, 256, "three End: no"), (2, 1, 0, "Ops: short End: x Ops: later"), (3, 1, 9, "Ops: last"), (3, 2, 0, "page two")]
+    rows += [(4, 1, n, "Ops: 0" if n == 0 else str(n)) for n in range(600)]
+    lines = spark.createDataFrame(rows, "doc int, page int, line_no int, line string")
+    got = {(r.doc, r.part): r.text for r in D.text_blocks(lines, {"ops": ("Ops:", ("End:",))}).collect()}
+    assert got[1, 0] == "one\ntwo\nthree" and got[2, 0] == "short" and got[3, 0] == "last\npage two"
+    assert [k for k in sorted(got) if k[0] == 4] == [(4, 0), (4, 1), (4, 2)]
+    assert "\n".join(got[4, k] for k in range(3)) == "\n".join(str(n) for n in range(600))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -97,16 +98,35 @@ def joined_parts(lines: DataFrame, keys: list[str], number: Column, text: str =
     return grouped.select(*keys, "part", X.multiline(F.array_join(F.col("_l.t"), "\n")).alias("text"))
 
 
+def block_lines(lines: DataFrame, start: str, stops: tuple[str, ...], keys: tuple[str, ...] = ("doc",)) -> DataFrame:
+    """Lines of the text between the first start label and the next stop label.
+
+    Both are cut by the place of the label in its line, so text after the start
+    label and before the stop label stays, and a block may begin and end on one
+    line.
+    """
+    key = list(keys)
+    place = F.struct("page", "line_no")
+    begins = lines.filter(F.contains("line", F.lit(start))).groupBy(*key).agg(F.min(place).alias("_from"))
+    tail = F.substr("line", F.locate(start, F.col("line")) + len(start))
+    after = lines.join(begins, key).filter(place >= F.col("_from")).withColumn("line", F.when(place == F.col("_from"), tail).otherwise(F.col("line")))
+    ends = after.filter(any_marker(F.col("line"), stops)).groupBy(*key).agg(F.min(place).alias("_to"))
+    rows = after.join(ends, key, "left").filter(F.col("_to").isNull() | (place <= F.col("_to")))
+    head = F.regexp_extract("line", "(?s)^(.*?)(?:" + "|".join(re.escape(m) for m in stops) + ")", 1)
+    return rows.withColumn("line", F.when(place == F.col("_to"), head).otherwise(F.col("line"))).drop("_from", "_to")
+
+
+def block_parts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Text of each block; one longer than PART_LINES lines comes in parts counted from its first line."""
+    sliced = rows.withColumn("_slice", F.floor(F.col("line_no") / PART_LINES))
+    numbered = ordering.number_rows(sliced, keys, ["page", "_slice"] if "page" not in keys else ["_slice"], ["page", "line_no"], "_no")
+    return joined_parts(numbered, keys, F.col("_no") - 1)
+
+
 def text_blocks(lines: DataFrame, blocks: dict[str, tuple[str, tuple[str, ...]]]) -> DataFrame:
     """(doc, block, part, text) for each named block: start label and stop labels."""
-    out = None
-    for name, (start, stops) in blocks.items():
-        rows = section_slice(lines, start, stops)
-        tail = F.when(F.contains("line", F.lit(start)), F.substring_index("line", start, -1)).otherwise(F.col("line"))
-        block = joined_parts(rows.withColumn("line", tail), ["doc"], F.col("line_no")).filter("text <> ''")
-        block = block.withColumn("block", F.lit(name))
-        out = block if out is None else out.unionByName(block)
-    return out
+    rows = [block_lines(lines, start, stops).withColumn("block", F.lit(name)) for name, (start, stops) in blocks.items()]
+    return block_parts(reduce(DataFrame.unionByName, rows), ["doc", "block"]).filter("text <> ''").select("doc", "part", "text", "block")
 
 
 def pages_with(lines: DataFrame, marker: str) -> DataFrame:
@@ -197,11 +217,9 @@ def incident_block(lines: DataFrame, label: str = "Incident Comments:", stops: t
     """Comment block bounded by its page, without page furniture."""
     from tourlog.functions import dims
 
-    rows = section_slice(lines, label, stops, ("doc", "page"))
+    rows = block_lines(lines, label, stops, ("doc", "page"))
     furniture = f"(?i)^\\s*(?:{'|'.join(dims.PAGE_FURNITURE)})\\s*$"
-    tail = F.when(F.contains("line", F.lit(label)), F.substring_index("line", label, -1)).otherwise(F.col("line"))
-    kept = rows.withColumn("line", tail).filter(~F.col("line").rlike(furniture) & ~S.blank(F.col("line")))
-    return joined_parts(kept, ["doc", "page"], F.col("line_no"))
+    return block_parts(rows.filter(~F.col("line").rlike(furniture) & ~S.blank(F.col("line"))), ["doc", "page"])
 
 
 # --- positioned words -----------------------------------------------------------------------------

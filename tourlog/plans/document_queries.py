@@ -105,16 +105,20 @@ def raw_cells_audit(i):
     """
 select rk as doc, x.row, x.col, case when x.row in (4, 5) and x.col in (0, 1) then 'Rig' else x.value end as value
 from report_base, lateral (values (1, 0, 'DAILY REPORT'), (2, 0, 'Event:'), (2, 1, event), (2, 10, 'Well Name'), (2, 11, wellbore), (3, 0, 'Report No: ' || report_no),
-  (4, 0, 'Rig'), (4, 1, ''), (5, 0, ''), (5, 1, ''), (6, 1, rig_raw)) x(row, col, value)
+  (4, 0, 'Rig'), (4, 1, ''), (5, 0, ''), (5, 1, ''), (6, 1, rig_raw), (20, 0, 'From'), (20, 1, 'To'), (20, 2, 'Hrs'), (20, 3, 'Op Code'), (20, 4, 'Op Sub'),
+  (20, 5, 'Op Type'), (20, 6, 'Operation Details')) x(row, col, value)
+union all
+select rk, row_no * 2 + 20 + y.down, y.col, y.value from operations, lateral (values (0, 0, case when from_time = '7h30' then '07:30' else from_time end), (0, 1, to_time),
+  (0, 2, hours), (0, 3, op_code), (0, 4, op_sub), (0, 5, op_type), (0, 6, operation_details),
+  (1, 6, case when l_suppkey % 5 = 0 then 'more ' || l_partkey else '' end)) y(down, col, value)
 """,
-    uses=("report_base",),
+    uses=("report_base", "operations"),
 )
 def merged_cell_fill(i):
-    top = i.v("cells").filter("row < 10")
     ranges = i.v("report_base").select(
         F.col("rk").alias("doc"), F.lit("s").alias("sheet"), F.lit(4).alias("r1"), F.lit(0).alias("c1"), F.lit(5).alias("r2"), F.lit(1).alias("c2")
     )
-    return D.merged_fill(top, ranges).drop("sheet")
+    return D.merged_fill(i.v("cells"), ranges).drop("sheet")
 
 
 # --- lines ---------------------------------------------------------------------------------------------

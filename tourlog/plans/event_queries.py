@@ -465,7 +465,7 @@ def _report_texts(i):
 @query(
     "structured_tables",
     f"""
-, t as (select r.*, f.* exclude (record_id, report_type, wellbore, rig, event, report_date), substr(r.record_id, 2)::bigint % 50 as k
+, t as (select r.*, f.* exclude (record_id), substr(r.record_id, 2)::bigint % 50 as k
   from records r join field_base f on f.record_id = r.record_id),
 g as (select * from t where k not in (7, 8)),
 cells as (select record_id, unnest(range(1, {len(QQ.HEADER_FIELDS) + 1})) as row_no, unnest([{_FIELD_CELLS}]) as c from g)

@@ -546,18 +546,34 @@ def restore_by_token(i):
     return MK.restore_by_token(texts.select("unit_id", "masked", said.alias("translated")), kinds)
 
 
+_GROUPED = "case when unit_id >= 1000 then floor(unit_id / 1000)::bigint || ',' || lpad((unit_id % 1000)::varchar, 3, '0') else unit_id::varchar end"
+
+
 @query(
     "restore_number_spelling",
     f"""
-select unit_id, replace(replace(translated_text, '至 ' || unit_id || ' ft', '至 ' || case when unit_id >= 1000 then floor(unit_id / 1000)::bigint || ',' || lpad((unit_id % 1000)::varchar, 3, '0') else unit_id::varchar end || ' ft'),
+select unit_id, replace(replace(replace(translated_text, '至 ' || unit_id || ' ft', '至 ' || {_GROUPED} || ' ft'), '达 ' || unit_id || ' 英尺', '达 ' || {_GROUPED} || ' 英尺'),
   o_custkey || '.5', o_custkey || ',5') as text
-from pairs where variant = 0
+from pairs
 """,
     uses=("pairs",),
 )
 def restore_number_spelling(i):
-    good = i.v("pairs").filter("variant = 0")
-    return Q.restore_number_spelling(good, "source_text", "translated_text", "text").select("unit_id", "text")
+    return Q.restore_number_spelling(i.v("pairs"), "source_text", "translated_text", "text").select("unit_id", "text")
+
+
+@query(
+    "restore_yearless",
+    f"""
+select unit_id, case when unit_id % 2 = 0 then translated_text else replace(translated_text, '2001-05-' || {_DAY2}, '5月' || {_DAY} || '日') end as text
+from pairs
+""",
+    uses=("pairs",),
+)
+def restore_yearless(i):
+    """Every second source names its date without a year, which the translation adds."""
+    bare = F.when(F.col("unit_id") % 2 == 1, F.replace("source_text", F.lit(" de 2001"))).otherwise(F.col("source_text"))
+    return Q.restore_yearless(i.v("pairs").withColumn("source_text", bare), "source_text", "translated_text", "text").select("unit_id", "text")
 
 
 # --- failure families ------------------------------------------------------------------------------
