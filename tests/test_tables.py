@@ -1,6 +1,7 @@
 """Merges, sources, logs and streams."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -102,3 +103,23 @@ def test_blocks_are_cut_at_their_labels(spark):
     assert got[1, 0] == "one\ntwo\nthree" and got[2, 0] == "short" and got[3, 0] == "last\npage two"
     assert [k for k in sorted(got) if k[0] == 4] == [(4, 0), (4, 1), (4, 2)]
     assert "\n".join(got[4, k] for k in range(3)) == "\n".join(str(n) for n in range(600))
+
+
+def test_retention_over_many_ranges(spark):
+    rng = random.Random(9)
+    rows = [(n, f"2026-01-{rng.randrange(1, 20):02d}T00:00:00", "x" * rng.randrange(0, 60)) for n in range(3000)] + [(9000, None, "no time"), (9001, "bad", "x")]
+    rng.shuffle(rows)
+    log = spark.createDataFrame(rows, "n int, time string, line string").repartition(7)
+    for entries, budget in ((2000, 40_000), (900, 10_000), (0, 100), (10_000, 55), (500, 0)):
+        kept, total = [], 0
+        recent = [r for r in sorted(rows) if r[1] and "T" in r[1] and r[1] >= "2026-01-08T00:00:00"]
+        for n, _, line in reversed(recent[-entries:] if entries else []):
+            size = len(line) + 1
+            if not budget or size > budget:
+                continue
+            if kept and total + size > budget:
+                break
+            kept.append(n)
+            total += size
+        got = logs.retention(log, "time", "n", "line", "2026-01-18T00:00:00", 10, entries, budget)
+        assert sorted(r.n for r in got.collect()) == sorted(kept)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tourlog.operators import ordering
+from tourlog.session import materialise
 
 
 def latest_per_kind(events: DataFrame, kind: str, order: list[str], n: int) -> DataFrame:
@@ -21,16 +22,28 @@ def tail(events: DataFrame, order: list[str], n: int) -> DataFrame:
 def retention(log: DataFrame, time: str, order: str, line: str, now: str, days: int, max_entries: int, max_bytes: int) -> DataFrame:
     """Rows to keep: recent ones, the last ``max_entries`` of them, newest within the byte budget.
 
-    The entry limit is part of the rule and bounds the running byte sum.  A row
-    larger than the whole budget is passed over; older rows stop at the first
-    that no longer fits.
+    A row larger than the whole budget is passed over; older rows stop at the
+    first that no longer fits.  ``order`` is unique.  Rows lie in ranges of
+    ``order``; a row's number and running sum are those inside its range plus a
+    small table of the ranges before, so no task holds all kept rows.
     """
     stamp = F.try_to_timestamp(time)
     recent = log.filter(stamp >= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(max(0, days))))
-    last = recent.orderBy(F.desc(order)).limit(max(0, max_entries))
-    sized = last.withColumn("bytes", F.octet_length(line) + 1).filter(F.col("bytes") <= max_bytes)
-    newest = W.orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0)
-    return sized.withColumn("_sum", F.sum("bytes").over(newest)).filter(F.col("_sum") <= max_bytes).drop("_sum")
+    ranged = recent.withColumn("bytes", F.octet_length(line) + 1).repartitionByRange(F.desc(order))
+    # written, as borders of ranges are sampled and must not move between the two readings
+    ranges = materialise(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
+    numbered = _running(ranges, order, F.lit(1), "_no").filter(F.col("_no") <= max_entries)
+    sized = numbered.filter(F.col("bytes") <= max_bytes)
+    return _running(sized, order, F.col("bytes"), "_sum").filter(F.col("_sum") <= max_bytes).drop("_sum", "_no", "_range")
+
+
+def _running(rows: DataFrame, order: str, value: Column, name: str) -> DataFrame:
+    """Sum of ``value`` from the newest row on, over rows in ranges ``_range``."""
+    totals = rows.groupBy("_range").agg(F.sum(value).alias("_total"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row per range
+    offsets = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    inside = W.partitionBy("_range").orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0)
+    return rows.join(offsets, "_range").withColumn(name, F.sum(value).over(inside) + F.col("_before")).drop("_before")
 
 
 def retention_report(log: DataFrame, kept: DataFrame) -> DataFrame:
