@@ -415,7 +415,7 @@ class GridTable:
     first_pattern: str = ""
 
 
-# fixed values: operations table of the spreadsheet layout
+# fixed values: tables of the spreadsheet layout (column, its header texts)
 GRID_OPERATIONS = GridTable(
     headers=(
         ("from", ("from",)), ("to", ("to",)), ("hours", ("hrs", "hours")), ("op_code", ("op code",)), ("op_sub", ("op sub",)),
@@ -426,6 +426,58 @@ GRID_OPERATIONS = GridTable(
     continuation="operation_details",
     first_pattern=r"^[0-9]{1,2}:?[0-9]{0,2}$",
 )
+GRID_TABLES = {
+    "operations": GRID_OPERATIONS,
+    "survey_data": GridTable(
+        headers=(
+            ("md", ("md",)), ("incl", ("incl", "inclination")), ("azi", ("azi", "azimuth")), ("tvd", ("tvd",)), ("vse", ("vse",)),
+            ("ns", ("n/-s", "n s", "ns")), ("ew", ("e/-w", "e w", "ew")), ("dls", ("dls",)), ("build", ("build",)),
+        ),
+        min_hits=5,
+        stops=("personnel", "bit record", "mud data"),
+    ),
+    "bit_record": GridTable(
+        headers=(
+            ("bit_no", ("bit no",)), ("size", ("size",)), ("manufacturer", ("manufacturer",)), ("model", ("model",)), ("serial_no", ("serial no",)),
+            ("iadc_code", ("iadc code",)), ("nozzles", ("nozzles",)), ("md_in", ("md in",)), ("md_out", ("md out",)),
+            ("bit_grade", ("b-g-o-r", "b g o r")),
+        ),
+        min_hits=5,
+        stops=("bit operating parameters", "mud data"),
+    ),
+    "bit_operating_parameters": GridTable(
+        headers=(
+            ("bit_no", ("bit no",)), ("rot_hrs", ("rot hrs",)), ("cum_rot_hrs", ("cum rot hrs",)), ("progress", ("prog",)),
+            ("cum_progress", ("cum prog",)), ("rop", ("rop",)), ("cum_rop", ("cum rop",)), ("wob_min_max", ("wob",)), ("rpm_min_max", ("rpm",)),
+            ("tfa", ("tfa",)), ("p_drop_bit", ("p drop bit",)), ("noz_vel", ("noz vel",)), ("hhpsi", ("hhpsi",)),
+        ),
+        min_hits=5,
+        stops=("mud data", "mud products"),
+    ),
+    "mud_products": GridTable(
+        headers=(("product", ("product",)), ("units", ("units",)), ("qty_used", ("qty used",))),
+        min_hits=3,
+        stops=("last or current bha", "daily costs", "fluid losses"),
+    ),
+    "bha_components": GridTable(
+        headers=(("component", ("component",)), ("od", ("od",)), ("id", ("id",)), ("joints", ("jts", "joints")), ("length", ("length",))),
+        min_hits=4,
+        stops=("fluid losses", "bulks", "operations", "daily costs"),
+        continuation="component",
+    ),
+    "daily_costs": GridTable(
+        headers=(("cost_description", ("cost description",)), ("vendor", ("vendor",)), ("amount", ("amount",))),
+        min_hits=3,
+        stops=("fluid losses", "bulks", "operations"),
+    ),
+    "bulks": GridTable(
+        headers=(("bulk", ("bulks", "bulk")), ("qty_start", ("qty start",)), ("qty_used", ("qty used",)), ("qty_end", ("qty end",))),
+        min_hits=3,
+        stops=("operations", "safety incident", "other remarks"),
+    ),
+}
+# columns whose line breaks are kept
+LINED = ("operation_details",)
 
 
 # fixed values: section titles that end any table
@@ -435,73 +487,136 @@ SECTION_TITLES = (
 )
 
 
-def grid_table(cells: DataFrame, spec: GridTable) -> DataFrame:
-    """Rows of a table found by its header words in a cell grid.
+def _header_columns(spec: GridTable) -> Column:
+    """(col, name) of the headers found in a row, by column: array of structs, unsorted.
+
+    A header is the first cell that holds one of its texts; one whose text only
+    shows across cells is taken to stand right of the header found before it.  A
+    column is taken once.
+    """
+    kind = "array<struct<col:int,name:string>>"
+
+    def seen(aliases, c):
+        return reduce(lambda p, q: p | q, [F.contains(c, F.lit(_norm(a))) for a in aliases])
+
+    wanted = F.array(
+        *[
+            F.struct(
+                F.get(F.filter("cells", lambda c: seen(aliases, c["norm"])), F.lit(0))["col"].alias("col"),
+                seen(aliases, F.col("line")).alias("across"), F.lit(name).alias("name"),
+            )
+            for name, aliases in spec.headers
+        ]
+    )
+
+    def take(found, h):
+        right = F.coalesce(F.get(found, F.size(found) - 1)["col"] + 1, F.lit(0))
+        col = F.coalesce(h["col"], F.when(h["across"], right)).cast("int")
+        new = F.array(F.struct(col.alias("col"), h["name"].alias("name"))).cast(kind)
+        free = col.isNotNull() & ~F.exists(found, lambda f: f["col"] == col)
+        return F.when(free, F.concat(found, new)).otherwise(found)
+
+    return F.aggregate(wanted, F.array().cast(kind), take)
+
 
-    A column reaches to the next header; the table ends at a stop marker or at
-    the third blank row; rows without a valid first cell continue the row
-    above.  Repeated rows are dropped, the first one stays.
+def _table_bounds(lines: DataFrame, spec: GridTable) -> DataFrame:
+    """(doc, sheet, header_row, columns, end) of every table; the row ``end`` is the first one after it.
+
+    One sweep from the last row to the first hands each header the next end: a
+    row with a stop marker or section title below it, or the row after the last
+    one before three rows without text.
     """
     sheet = ["doc", "sheet"]
-    grid = cells.filter(~S.blank(F.col("value"))).withColumn("norm", label_text(F.col("value"))).filter("norm <> ''")
-    # one record per sheet row (a row has few columns), written once and read by
-    # the header search, the end search and the slicing
-    lines = materialise(
-        grid.groupBy(*sheet, "row").agg(F.array_sort(F.collect_list(F.struct("col", "value", "norm"))).alias("cells")), "grid"
-    ).withColumn("line", F.array_join(F.col("cells.norm"), " "))
-
-    def first_column(i, name, aliases):
-        hit = F.filter("cells", lambda c: reduce(lambda p, q: p | q, [F.contains(c["norm"], F.lit(a)) for a in aliases]))
-        col = F.get(hit, F.lit(0))["col"]
-        return F.when(col.isNotNull(), F.struct(col.alias("col"), F.lit(i).alias("o"), F.lit(name).alias("name")))
-
-    found = F.array_compact(F.array(*[first_column(i, n, aliases) for i, (n, aliases) in enumerate(spec.headers)]))
-    heads = lines.withColumn("_found", found)
-    # a column already taken by an earlier header is not shared
-    own = F.filter("_found", lambda c: ~F.exists("_found", lambda d: (d["col"] == c["col"]) & (d["o"] < c["o"])))
-    heads = heads.filter(F.size("_found") >= spec.min_hits)
-    heads = heads.select(*sheet, F.col("row").alias("header_row"), F.array_sort(own).alias("columns"))
-    heads = materialise(heads, "headers").filter(F.size("columns") >= spec.min_hits)
-    # bounds of each table: a stop marker, or three rows without text
     own_words = " ".join(_norm(a) for _, aliases in spec.headers for a in aliases)
-    sections = [s for s in SECTION_TITLES if s not in own_words]
-    rows = lines.select(*sheet, "row", (any_marker(F.col("line"), spec.stops) | F.col("line").isin(*sections)).alias("stop"))
-    blank3 = rows.select(*sheet, F.col("row").alias("_at"), F.explode(F.array(*[F.col("row") + k for k in (1, 2, 3)])).alias("row"))
-    alive = blank3.join(rows.select(*sheet, "row"), [*sheet, "row"], "left_semi").select(*sheet, "_at").distinct()
-    ends = rows.select(*sheet, F.col("row").alias("_at"), "stop").join(alive.withColumn("_alive", F.lit(True)), [*sheet, "_at"], "left")
-    ends = ends.withColumn("end", F.when(F.col("stop"), F.col("_at")).when(F.col("_alive").isNull(), F.col("_at") + 1))
-    limits = heads.select(*sheet, "header_row").join(ends.filter("end is not null"), sheet).filter(F.col("end") > F.col("header_row"))
-    limits = limits.groupBy(*sheet, "header_row").agg(F.min("end").alias("end"))
-    tables = heads.join(limits, [*sheet, "header_row"])
-    inside = lines.join(tables, sheet).filter((F.col("row") > F.col("header_row")) & (F.col("row") < F.col("end")))
+    sections = [t for t in SECTION_TITLES if t not in own_words]
+    stop = any_marker(F.col("line"), tuple(_norm(m) for m in spec.stops)) | F.col("line").isin(*sections)
+    found = lines.select(*sheet, "row", stop.alias("stop"), _header_columns(spec).alias("columns"))
+    rows = ordering.following(found, sheet, "row", "next")
+    header = F.size("columns") >= spec.min_hits
+    last = F.col("next").isNull() | (F.col("next") > F.col("row") + 3)
+    # a stop counts for headers above its row, the end before blank rows for its own row too
+    marks = F.array_compact(
+        F.array(
+            F.when(F.col("stop"), F.struct((-2 * F.col("row")).alias("place"), F.col("row").alias("end"), F.lit(False).alias("header"))),
+            F.when(header | last, F.struct((-2 * F.col("row") - 1).alias("place"), F.when(last, F.col("row") + 1).alias("end"), header.alias("header"))),
+        )
+    )
+    marks = rows.select(*sheet, "row", "columns", F.inline(marks))
+    swept = ordering.carry_forward(marks, sheet, "place", F.col("end"), "until").filter("header")
+    return swept.select(*sheet, F.col("row").alias("header_row"), F.array_sort("columns").alias("columns"), F.col("until").alias("end"))
+
+
+# rows of a sheet that meet the tables reaching into them
+SWEEP_ROWS = 256
+
+
+def grid_lines(cells: DataFrame) -> DataFrame:
+    """(doc, sheet, row, cells, line): one record per sheet row with text; a row has few columns.
+
+    Written once, as the search for headers and the slicing of every table read it.
+    """
+    grid = cells.filter(~S.blank(F.col("value"))).withColumn("norm", label_text(F.col("value")))
+    rows = grid.groupBy("doc", "sheet", "row").agg(F.array_sort(F.collect_list(F.struct("col", "value", "norm"))).alias("cells"))
+    return materialise(rows, "grid").withColumn("line", F.array_join(F.filter("cells.norm", lambda n: n != ""), " ")).filter("line <> ''")
+
+
+def grid_table(cells: DataFrame, spec: GridTable, lines: DataFrame | None = None) -> DataFrame:
+    """Rows of the tables found by their header words in a cell grid; a sheet may hold several.
+
+    A column reaches to the next header.  A row whose leftmost column lacks the
+    pattern of first cells, or that only has text in the continuation column,
+    continues the row above; line breaks stay in LINED columns.  Repeated rows are
+    dropped, the first one stays.  ``lines`` may hand on what ``grid_lines`` made.
+    """
+    sheet = ["doc", "sheet"]
+    lines = grid_lines(cells) if lines is None else lines
+    tables = _table_bounds(lines, spec)
+    reach = F.sequence(F.floor(F.col("header_row") / SWEEP_ROWS), F.floor((F.col("end") - 1) / SWEEP_ROWS))
+    near = tables.withColumn("_block", F.explode(reach))
+    inside = lines.withColumn("_block", F.floor(F.col("row") / SWEEP_ROWS)).join(near, [*sheet, "_block"])
+    inside = inside.filter((F.col("row") > F.col("header_row")) & (F.col("row") < F.col("end")))
     key = [*sheet, "header_row", "row"]
 
     def slice_text(c, i):
         until = F.get(F.col("columns"), i + 1)["col"]
-        own = F.filter("cells", lambda x: (x["col"] >= c["col"]) & (until.isNull() | (x["col"] < until)))
-        return F.struct(c["name"], F.array_join(F.transform(own, lambda x: S.squeeze(x["value"])), " "))
+        own = F.transform(F.filter("cells", lambda x: (x["col"] >= c["col"]) & (until.isNull() | (x["col"] < until))), lambda x: x["value"])
+        lined = X.multiline(F.array_join(own, "\n"))
+        return F.struct(c["name"].alias("name"), F.when(c["name"].isin(*LINED), lined).otherwise(S.squeeze(F.array_join(own, " "))).alias("text"))
 
     names = [n for n, _ in spec.headers]
-    texts = inside.select(*key, F.map_from_entries(F.transform("columns", slice_text)).alias("_t"))
-    wide = texts.select(*key, *[F.coalesce(F.try_element_at("_t", F.lit(n)), F.lit("")).alias(n) for n in names])
+    texts = inside.select(*key, F.transform("columns", slice_text).alias("_t"))
+    given = F.filter("_t", lambda t: t["text"] != "")
+    text_of = lambda n: F.coalesce(F.get(F.filter("_t", lambda t: t["name"] == n), F.lit(0))["text"], F.lit("")).alias(n)
+    first = F.get(F.col("_t"), F.lit(0))["text"]
+    if spec.first_pattern:
+        opens = first.rlike(spec.first_pattern)
+    elif spec.continuation:
+        opens = (first != "") | F.exists("_t", lambda t: (t["name"] != spec.continuation) & (t["text"] != ""))
+    else:
+        opens = F.lit(True)
+    whole = F.array_join(F.transform(given, lambda t: t["text"]), " ")
     # the sliced rows are read three times below: once for the row openings, once
     # for the rows themselves and once for their continuations
-    wide = materialise(wide, "rows").filter(F.concat(*names) != "")
-    opens = F.col(names[0]).rlike(spec.first_pattern) if spec.first_pattern else F.col(names[0]) != ""
+    sliced = texts.filter(F.size(given) > 0).select(*key, *[text_of(n) for n in names], opens.alias("_opens"), whole.alias("_whole"))
     if not spec.continuation:
-        return dedupe_rows(wide.filter(opens), names)
+        return dedupe_rows(sliced.filter("_opens").drop("_opens", "_whole"), names)
+    wide = materialise(sliced, "rows")
     group = [*sheet, "header_row"]
-    owned = ordering.carry_forward(wide, group, "row", F.when(opens, F.col("row")), "_own").filter("_own is not null")
-    whole = F.array_join(F.filter(F.array(*names), lambda v: v != ""), " ")
-    extra = owned.filter(F.col("row") > F.col("_own")).select(*group, F.col("_own").alias("row"), F.col("row").alias("page"),
-                                                              F.lit(0).alias("line_no"), whole.alias("line"))
+    # a row without first cell before any row with one belongs to none; without pattern it is a row of its own
+    starts = F.col("_opens") if spec.first_pattern else F.col("_opens") | (F.col("row") == F.col("_first"))
+    if not spec.first_pattern:
+        wide = wide.join(wide.groupBy(*group).agg(F.min("row").alias("_first")), group)
+    owned = ordering.carry_forward(wide, group, "row", F.when(starts, F.col("row")), "_own").filter("_own is not null")
+    extra = owned.filter(F.col("row") > F.col("_own")).select(
+        *group, F.col("_own").alias("row"), F.col("row").alias("page"), F.lit(0).alias("line_no"), F.col("_whole").alias("line")
+    )
     # continuation lines are joined in bounded parts, then the parts of a cell
     parts = joined_parts(extra, key, F.col("page") - F.col("row")).groupBy(*key).agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("part", "text"))).getField("text"), "\n").alias("text")
     )
-    base = owned.filter(F.col("row") == F.col("_own")).drop("_own").join(parts, key, "left")
+    base = owned.filter(F.col("row") == F.col("_own")).drop("_own", "_opens", "_whole", "_first").join(parts, key, "left")
     target = spec.continuation
-    full = F.when(F.col("text").isNull(), F.col(target)).otherwise(F.concat_ws("\n", F.nullif(F.col(target), F.lit("")), F.col("text")))
+    full = F.when(F.col("text").isNull(), F.col(target)).otherwise(X.multiline(F.concat_ws("\n", F.nullif(F.col(target), F.lit("")), F.col("text"))))
     return dedupe_rows(base.withColumn(target, full).drop("text"), names)
 
 

@@ -6,6 +6,9 @@ to the shared folder, as the parsers scan them several times.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tourlog.operators import documents as D
@@ -83,6 +86,59 @@ def grid_tables(i):
     return D.grid_table(i.v("cells"), D.GRID_OPERATIONS).drop("sheet", "header_row", "row")
 
 
+# seven more tables below each other on one sheet: header texts by column; a text over two cells, and a column
+# of continued rows that is not the first one, are among them
+_GRIDS = {
+    "survey_data": ("MD", "Incl", "Azi", "TVD", "VSE", "N/-S", "E/-W", "DLS", "Build"),
+    "bit_record": ("Bit No", "Size", "Manufacturer", "Model", "Serial No", "IADC Code", "Nozzles", "MD In", "MD Out", "B-G-O-R"),
+    "bit_operating_parameters": (
+        "Bit No", "Rot Hrs", "Cum Rot Hrs", "Prog", "Cum Prog", "ROP", "Cum ROP", "WOB", "RPM", "TFA", "P Drop Bit", "Noz Vel", "HHPSI",
+    ),
+    "mud_products": ("Product", "Units", "Qty", "Used"),
+    "bha_components": ("OD", "ID", "Component", "Jts", "Length"),
+    "daily_costs": ("Cost Description", "Vendor", "Amount"),
+    "bulks": ("Bulks", "Qty Start", "Qty Used", "Qty End"),
+}
+# columns of the result, in the order of the sheet
+_GRID_COLUMNS = {name: [n for n, _ in D.GRID_TABLES[name].headers] for name in _GRIDS} | {"bha_components": ["od", "id", "component", "joints", "length"]}
+
+
+def _grid_oracle() -> str:
+    parts = []
+    for t, name in enumerate(_GRIDS):
+        for r in range(2):
+            values = [f"'{t}-{r}-{c}-' || rk" for c in range(len(_GRID_COLUMNS[name]))]
+            if name == "bha_components" and r == 0:
+                values[2] += " || chr(10) || 'more ' || rk"
+            parts.append(f"select rk as doc, '{name}' as table_name, {100 * t + 12 + 2 * r} as row, " + " || '|' || ".join(values) + " as cells from report_base")
+    return " union all ".join(parts)
+
+
+@query("grid_tables_all", _grid_oracle(), uses=("report_base",))
+def grid_tables_all(i):
+    """Seven tables of a sheet by their header words."""
+
+    def cell(row, col, value):
+        return F.struct(F.lit(row).alias("row"), F.lit(col).alias("col"), value.alias("value"))
+
+    rk, found = F.col("rk").cast("string"), []
+    for t, (name, heads) in enumerate(_GRIDS.items()):
+        top = 100 * t + 10
+        found += [cell(top, 0, F.lit(name.replace("_", " ").title()))] + [cell(top + 1, c, F.lit(h)) for c, h in enumerate(heads)]
+        for r in range(2):
+            found += [cell(top + 2 + 2 * r, c, F.concat(F.lit(f"{t}-{r}-{c}-"), rk)) for c in range(len(_GRID_COLUMNS[name]))]
+        if name == "bha_components":
+            found.append(cell(top + 3, 2, F.concat(F.lit("more "), rk)))
+        found.append(cell(top + 8, 0, F.lit("beyond three blank rows")))
+    cells = i.v("report_base").select(F.col("rk").alias("doc"), F.lit("s").alias("sheet"), F.inline(F.array(*found)))
+    lines = D.grid_lines(cells)
+    parts = [
+        D.grid_table(cells, D.GRID_TABLES[name], lines).select("doc", F.lit(name).alias("table_name"), "row", F.concat_ws("|", *_GRID_COLUMNS[name]).alias("cells"))
+        for name in _GRIDS
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "raw_cells_audit",
     """
