@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tourlog.functions import scalars as S
@@ -530,9 +531,13 @@ def _table_bounds(lines: DataFrame, spec: GridTable) -> DataFrame:
     own_words = " ".join(_norm(a) for _, aliases in spec.headers for a in aliases)
     sections = [t for t in SECTION_TITLES if t not in own_words]
     stop = any_marker(F.col("line"), tuple(_norm(m) for m in spec.stops)) | F.col("line").isin(*sections)
-    found = lines.select(*sheet, "row", stop.alias("stop"), _header_columns(spec).alias("columns"))
-    rows = ordering.following(found, sheet, "row", "next")
-    header = F.size("columns") >= spec.min_hits
+    # most rows hold too few of the header texts to be looked at cell by cell
+    hits = reduce(lambda p, q: p + q, [any_marker(F.col("line"), tuple(_norm(x) for x in aliases)).cast("int") for _, aliases in spec.headers])
+    columns = F.when(hits >= spec.min_hits, _header_columns(spec))
+    found = lines.select(*sheet, "row", stop.alias("stop"), F.when(F.size(columns) >= spec.min_hits, F.array_sort(columns)).alias("columns"))
+    # a sheet has at most 1,048,576 rows by its format: one sort of row numbers serves both windows
+    rows = found.withColumn("next", F.lead("row").over(W.partitionBy(*sheet).orderBy("row")))
+    header = F.col("columns").isNotNull()
     last = F.col("next").isNull() | (F.col("next") > F.col("row") + 3)
     # a stop counts for headers above its row, the end before blank rows for its own row too
     marks = F.array_compact(
@@ -542,8 +547,9 @@ def _table_bounds(lines: DataFrame, spec: GridTable) -> DataFrame:
         )
     )
     marks = rows.select(*sheet, "row", "columns", F.inline(marks))
-    swept = ordering.carry_forward(marks, sheet, "place", F.col("end"), "until").filter("header")
-    return swept.select(*sheet, F.col("row").alias("header_row"), F.array_sort("columns").alias("columns"), F.col("until").alias("end"))
+    sweep = W.partitionBy(*sheet).orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+    swept = marks.withColumn("until", F.last("end", ignorenulls=True).over(sweep)).filter("header")
+    return swept.select(*sheet, F.col("row").alias("header_row"), "columns", F.col("until").alias("end"))
 
 
 # rows of a sheet that meet the tables reaching into them

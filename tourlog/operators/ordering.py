@@ -101,13 +101,3 @@ def carry_forward(
         .withColumn(name, F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_handed")))
         .drop("_value", "_block", "_handed")
     )
-
-
-def following(df: DataFrame, keys: list[str], order: str, name: str, block: int = 4096) -> DataFrame:
-    """The next larger value of an integer ``order`` in its key, null after the last; in blocks like ``carry_forward``."""
-    rows = df.withColumn("_block", F.floor(F.col(order) / block))
-    grain = [*keys, "_block"]
-    firsts = rows.groupBy(*grain).agg(F.min(order).alias("_first"))
-    later = firsts.select(*grain, F.lead("_first").over(W.partitionBy(*keys).orderBy("_block")).alias("_later"))
-    inside = F.lead(order).over(W.partitionBy(*grain).orderBy(order))
-    return join_on(rows, later, grain).withColumn(name, F.coalesce(inside, F.col("_later"))).drop("_block", "_later")
