@@ -123,3 +123,15 @@ def test_retention_over_many_ranges(spark):
             total += size
         got = logs.retention(log, "time", "n", "line", "2026-01-18T00:00:00", 10, entries, budget)
         assert sorted(r.n for r in got.collect()) == sorted(kept)
+
+
+def test_operation_rows_over_pages_with_own_line_numbers(spark):
+    rows = [
+        (1, 1, 0, "00:00 06:00 6.00 DRL P drill ahead"), (1, 1, 1, "more"), (1, 1, 2, "06:00 08:00 2.00 RIG NPT wait"),
+        (1, 2, 0, "on page two"), (1, 2, 1, "08:00 10:00 2.00 DRL P last"), (1, 2, 2, "end"),
+    ]
+    lines = spark.createDataFrame(rows, "doc int, page int, line_no int, line string")
+    found = sorted(D.text_operation_rows(lines).collect(), key=lambda r: (r.page, r.start_line))
+    assert [(r.page, r.start_line, r.op_type, r.text) for r in found] == [
+        (1, 0, "P", "drill ahead\nmore"), (1, 2, "NPT", "wait\non page two"), (2, 1, "P", "last\nend"),
+    ]

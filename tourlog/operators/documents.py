@@ -189,15 +189,21 @@ def interval_rows(lines: DataFrame, day_first: bool) -> DataFrame:
     return rows.withColumn("date", S.date_from_slashes(F.col("date"), day_first))
 
 
+# more lines than any page has
+PAGE_LINES = 1 << 24
+
+
 def text_operation_rows(lines: DataFrame) -> DataFrame:
-    """Operation rows of plain text: a clock line opens a row, later lines continue it.
+    """Operation rows of plain text: a clock line opens a row, later lines continue it, over page ends too.
 
-    Returns (doc, start_line, part, from, to, hours, op_type, head, text); long
+    Returns (doc, page, start_line, part, from, to, hours, op_type, head, text) with
+    the place of the opening line; line numbers may begin anew on each page.  Long
     rows come in several parts.
     """
-    starts = F.when(F.col("line").rlike(TIME_ROW), F.col("line_no"))
-    rows = ordering.carry_forward(lines, ["doc"], "line_no", starts, "start_line").filter("start_line is not null")
-    opening = F.col("line_no") == F.col("start_line")
+    placed = lines.withColumn("_place", F.col("page").cast("bigint") * PAGE_LINES + F.col("line_no"))
+    starts = F.when(F.col("line").rlike(TIME_ROW), F.col("_place"))
+    rows = ordering.carry_forward(placed, ["doc"], "_place", starts, "_start").filter("_start is not null")
+    opening = F.col("_place") == F.col("_start")
     kept = rows.filter(opening | ~(S.blank(F.col("line")) | any_marker(F.col("line"), OPERATION_STOPS)))
     rest = F.regexp_extract("line", TIME_ROW, 4)
     kind = F.when(rest.rlike(r"\bNPT\b"), "NPT").when(rest.rlike(r"\bP\b"), "P").otherwise("")
@@ -205,13 +211,13 @@ def text_operation_rows(lines: DataFrame) -> DataFrame:
     cut = F.when(F.col("op_type") == "NPT", F.split("_rest", r"\bNPT\b", 2)).when(F.col("op_type") == "P", F.split("_rest", r"\bP\b", 2))
     staged = staged.withColumn("head", S.squeeze(F.coalesce(F.get(cut, F.lit(0)), F.col("_rest"))))
     tail = F.coalesce(S.squeeze(F.get(cut, F.lit(1))), F.lit(""))
-    staged = staged.withColumn("body", F.when(opening, tail).otherwise(F.col("line")))
-    text = joined_parts(staged, ["doc", "start_line"], F.col("line_no") - F.col("start_line"), "body")
+    body = staged.withColumn("line", F.when(opening, tail).otherwise(F.col("line")))
+    text = block_parts(body, ["doc", "_start"])
     heads = staged.filter(opening).select(
-        "doc", "start_line", *[F.regexp_extract("line", TIME_ROW, i + 1).alias(n) for i, n in enumerate(("from", "to", "hours"))],
-        "op_type", "head",
-    )
-    return heads.join(text, ["doc", "start_line"])
+        "doc", "_start", "page", F.col("line_no").alias("start_line"),
+        *[F.regexp_extract("line", TIME_ROW, i + 1).alias(n) for i, n in enumerate(("from", "to", "hours"))], "op_type", "head",
+    )
+    return heads.join(text, ["doc", "_start"]).drop("_start")
 
 
 def incident_block(lines: DataFrame, label: str = "Incident Comments:", stops: tuple[str, ...] = ("Other Remarks:", "OpenWells")) -> DataFrame:

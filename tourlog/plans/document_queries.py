@@ -293,7 +293,7 @@ from operations
     uses=("operations",),
 )
 def text_operation_rows(i):
-    return D.text_operation_rows(i.v("lines"))
+    return D.text_operation_rows(i.v("lines")).drop("page")
 
 
 @view("words")
