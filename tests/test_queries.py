@@ -16,7 +16,8 @@ SAMPLE = [
     "npt_wells", "npt_confirm", "validation_warnings", "clock_durations", "upsert_records", "replace_detail_rows", "save_memory",
     "requeue_on_change", "text_units", "memory_lookup", "coverage", "greedy_chunks", "glossary_match", "terms_import_diff", "qa_report",
     "failure_families", "merge_suggestions", "extract_party", "grid_fields", "text_operation_rows", "log_retention",
-    "report_arrival_stream", "load_payloads",
+    "report_arrival_stream", "load_payloads", "protected_spans", "restore_by_token", "terms_import_batch", "split_text_parts",
+    "structured_tables", "preserve_terms",
 ]
 NAMES = list(entry.queries()) if os.environ.get("TOURLOG_ALL") else SAMPLE
 
