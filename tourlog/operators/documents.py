@@ -244,6 +244,13 @@ class WordLayout:
     stops: tuple[str, ...]
     stop_gap: float
     stop_x: float
+    # words that begin so end the table as well, left of prefix_x
+    stop_prefixes: tuple[str, ...] = ()
+    prefix_x: float = 0.0
+    # two words side by side, in any case, that end the table wherever they are
+    stop_pair: tuple[str, ...] = ()
+    # the table ends so far above the stop word
+    lift: float = 0.0
 
 
 # fixed values: print positions of the drilling layout
@@ -253,6 +260,7 @@ DRILLING_WORDS = WordLayout(
     starts=(20, 50, 50, 82, 84, 110),
     gap=10, tolerance=2.5,
     stops=("Safety", "Environ", "Incident", "Other", "Remarks:", "POB:"), stop_gap=20, stop_x=120,
+    stop_pair=("incident", "comments"),
 )
 COLUMNS = ("from", "to", "hours", "op_code", "op_sub", "op_type", "operation_details")
 
@@ -276,8 +284,17 @@ def positional_rows(words: DataFrame, layout: WordLayout) -> DataFrame:
         anchor = anchor.join(peer, page).filter(near).drop(f"_p{n}").distinct()
     heads = anchor.groupBy(*page).agg(F.min("_h").alias("_h"))
     height = words.groupBy(*page).agg(F.max("page_height").alias("_height"))
-    stop = words.filter(F.col("text").isin(*layout.stops) & (F.col("x0") < layout.stop_x)).join(heads, page)
-    stop = stop.filter(F.col("top") > F.col("_h") + layout.stop_gap).groupBy(*page).agg(F.min("top").alias("_end"))
+    ends = F.col("text").isin(*layout.stops) & (F.col("x0") < layout.stop_x)
+    for prefix in layout.stop_prefixes:
+        ends = ends | (F.startswith("text", F.lit(prefix)) & (F.col("x0") < layout.prefix_x))
+    stop = words.filter(ends).select(*page, "top")
+    if layout.stop_pair:
+        one, two = layout.stop_pair
+        right = words.filter(F.rtrim(F.lower("text"), F.lit(":")) == two).select(*page, F.col("x0").alias("_x"), F.col("top").alias("_top"))
+        left = words.filter(F.lower("text") == one).select(*page, "x1", "top").join(right, page)
+        beside = _between("_d", 0, 15) & (F.abs(F.col("top") - F.col("_top")) <= 3)
+        stop = stop.unionByName(left.withColumn("_d", F.col("_x") - F.col("x1")).filter(beside).select(*page, "top"))
+    stop = stop.join(heads, page).filter(F.col("top") > F.col("_h") + layout.stop_gap).groupBy(*page).agg((F.min("top") - layout.lift).alias("_end"))
     bounds = heads.join(height, page).join(stop, page, "left").select(
         *page, "_h", F.coalesce("_end", F.col("_height") - 30).alias("_end")
     )
@@ -375,8 +392,11 @@ def grid_fields(cells: DataFrame, specs: dict[str, tuple[str, ...]]) -> DataFram
         *at, "field", "_m.label", "_m.value"
     )
 
+    # one pattern for all labels: a catalogue has a hundred
+    ends_in_label = "(?:^| )(?:" + "|".join(re.escape(x) for x in every) + ")$"
+
     def label_only(n):
-        return n.isin(*every) | reduce(lambda p, q: p | q, [F.endswith(n, F.lit(f" {x}")) for x in every])
+        return n.rlike(ends_in_label)
 
     clean = S.squeeze(F.col("value"))
     cut = F.instr(clean, F.lit(":"))
