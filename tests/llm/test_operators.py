@@ -247,6 +247,38 @@ def test_html():
     assert html_text.main_text("<p>" * 3000 + "deep, text.") == "deep, text."
 
 
+def test_html_class_words_give_way():
+    """Words about the page, parts of words and wrapping forms take no article away."""
+    want = ("Some text, with words. " * 9).strip()
+    text = f"<p>{want}</p>"
+    for body in (
+        f'<div class="has-sidebar">{text}</div>', f'<div id="page" class="no-header">{text}</div>', f'<article class="side-effects">{text}</article>',
+        f'<article class="post related">{text}</article>', f"<form>{text}</form>", f"<noscript>{text}", f"<svg>{text}", f"<p hidden>x, y. Not to be seen here.</p>{text}",
+        f'{text}<div style="display: none">Hidden, text. Very hidden.</div>', f'<div class="comments"><p>Hi there, all of you. Fine.</p></div>{text}',
+        f'<div class="site-header">My site, it is. Good.</div>{text}',
+        f'<form><nav>Home</nav><article>{text}</article><div class="cookie-notice">We use cookies, many. Yes, we do.</div></form>',
+    ):
+        assert html_text.main_text(page(body)) == want, body
+    for start in ('<body class="has-sidebar">', '<body class="single comments-open">', '<main class="content comments">'):
+        assert html_text.main_text(start + text) == want
+
+
+def test_html_quotes_without_a_pair():
+    assert html_text.main_text('<p>a, <a title="it>b</a> c.</p>') == "a, b c."
+    assert html_text.main_text("<p>x <a title=it's>don't, and so</a>.</p>") == "x don't, and so."
+    assert html_text.main_text('<p>x <a title="a > b">y, z</a>.</p>') == "x y, z."
+
+
+def test_html_depth_costs_no_more_than_length():
+    nested = html_text.main_text("<div>text, here " * 20_000)
+    assert nested.count("text, here") >= 1 and html_text.main_text("</b>" * 20_000 + "<p>a, b." + "</x>" * 20_000) == "a, b."
+
+
+def test_html_no_pages(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string, n_chars long, text string")
+    assert html_text.extract_pages(empty).columns == ["page_id", "url", "text", "n_chars"] and html_text.extract_pages(empty).isEmpty()
+
+
 def test_html_pages(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (1, "u", page("<p>a, b.</p>"), 2), (None, None, "", 3)], "page_id long, url string, html string, text int")
     assert sorted((r.n_chars, r.text) for r in html_text.extract_pages(pages).collect()) == [(0, ""), (0, ""), (5, "a, b.")]

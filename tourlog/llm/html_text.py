@@ -1,12 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
 A page becomes a sequence of text nodes, each with its path of tags from the
-root.  For each path the lengths and the punctuation of its nodes are summed and
+root (as the number of that path in the page).  For each path the lengths and the punctuation of its nodes are summed and
 set in relation to the number of nodes; both ratios are smoothed over the
 neighbours in page order and fused by their product.  A path is content if its
 fused ratio is high against the page.  Paths below elements that can not be
-content (navigation, forms, scripts, adverts and the like, told by tag, role or
-class) do not take part.  Headings belong to the content that they stand before.
+content (navigation, scripts, adverts and the like, told by tag, role or class)
+do not take part.  Class words and forms only hold for an element without an
+article or main element in it, and not at all where the page has no sentence
+besides.  Headings belong to the content that they stand before.
 
 Every page is worked on where it is read, without a shuffle.
 """
@@ -30,17 +32,27 @@ BLOCK = frozenset(
     "head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math object canvas".split())
-AWAY = frozenset("nav header footer aside form button select option menu dialog label fieldset head".split())
-# header and footer of an article itself are left to the words below
+AWAY = frozenset("nav header footer aside button select option menu dialog head".split())
+# elements that often wrap a whole page or article: told away like a class word
+SOFT = frozenset("form label fieldset".split())
+# class words do not speak of the page as a whole
+WHOLE = frozenset("html body main article".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 AWAY_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer|foot|header|masthead|cookies?|consent|gdpr|"
+    r"(?:.*[_-])?(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|footer|foot|header|masthead|cookies?|consent|gdpr|"
     r"notices?|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|disqus|replies|reply|respond|pagination|pager|widget\w*|login|signup|search)"
-    r"(?:$|[\s_-])",
+    r"(?:[_-].*)?|side",
     re.IGNORECASE,
 )
-PIECE = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.DOTALL)
+# words that say that something is there or not, not what the element is
+STATES = re.compile(r"(?:no|not|has|have|with|without|show|hide|is|single|full)[_-]|.*[_-](?:open|closed|on|off|enabled|disabled|count)$", re.IGNORECASE)
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+# a quote counts where a value begins; one without its pair is a sign like others
+PIECE = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|$)", re.DOTALL)
 ATTRIBUTE = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+# elements whose text runs to the end of the page if they are not closed
+ENDLESS = frozenset("script style textarea title iframe noembed noframes xmp".split())
+SENTENCE = re.compile(r"[.!?。！？…]")
 WHITE = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?。、，！？…]")
 HEADING = re.compile(r"h[1-6]$")
@@ -52,32 +64,65 @@ SMOOTHED = 2
 SHARE = 0.1
 
 
-def _away(name: str, attributes: str) -> bool:
+# what an element says of the text in it: nothing, a soft and a hard no
+ABLE, DOUBTED, GONE = range(3)
+
+
+def _verdict(name: str, attributes: str) -> int:
     if name in AWAY:
-        return True
-    if not attributes:
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
+        return GONE
+    found = DOUBTED if name in SOFT else ABLE
+    for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if key in ("class", "id") and AWAY_NAMES.search(value) or key == "role" and value.lower() in AWAY_ROLES:
-            return True
-        if key in ("hidden", "aria-hidden") and value.lower() in ("", "true", "hidden"):
-            return True
-    return False
+        if key == "role" and value.lower() in AWAY_ROLES or key in ("hidden", "aria-hidden") and value.lower() in ("", "true", "hidden"):
+            return GONE
+        if key == "style" and HIDDEN.search(value):
+            return GONE
+        if key in ("class", "id") and name not in WHOLE and any(AWAY_NAMES.fullmatch(t) and not STATES.match(t) for t in value.split()):
+            found = DOUBTED
+    return found
+
+
+class Open:
+    """An open element: its path, and what it and those around it say of their text."""
 
+    __slots__ = ("name", "path", "gone", "doubt", "article", "heading")
 
-def text_nodes(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
-    """Blocks of text in page order: path of tags, text, whether it can be content."""
-    out: list[tuple[tuple[str, ...], str, bool]] = []
-    stack: list[tuple[str, bool]] = []
+    def __init__(self, name: str, path: int, verdict: int, around: Open | None):
+        self.name, self.path = name, path
+        self.gone = verdict == GONE or around is not None and around.gone
+        # number of the innermost doubted element, 0 for none
+        self.doubt = around.doubt if around else 0
+        self.article = around.article if around else 0
+        self.heading = bool(HEADING.match(name)) or around is not None and around.heading
+
+
+def text_nodes(page: str) -> list[tuple[int, str, bool, int, bool]]:
+    """Blocks of text in page order.
+
+    A block is (path, text, whether it can be content, path of its outermost
+    article or 0, whether it is in a heading).  Doubted elements that hold an
+    article are believed to be content; if no other block has a sentence, all are.
+    """
+    out: list[tuple[int, str, Open | None]] = []
+    stack: list[Open] = []
+    opened: dict[str, int] = defaultdict(int)
+    paths: dict[tuple[int, str], int] = {}
+    # each doubted element knows the one around it, and whether an article is in it
+    around: list[int] = [0]
+    cleared: list[bool] = [True]
     held: list[str] = []
 
     def flush() -> None:
         text = WHITE.sub(" ", html.unescape("".join(held))).strip()
         held.clear()
         if text:
-            path = tuple(n for n, _ in stack if n not in INLINE)
-            out.append((path, text, not any(a for _, a in stack)))
+            out.append((stack[-1].path if stack else 0, text, stack[-1] if stack else None))
+
+    def shut(k: int) -> None:
+        for e in stack[k:]:
+            opened[e.name] -= 1
+        del stack[k:]
 
     at, size = 0, len(page)
     while at < size:
@@ -94,37 +139,62 @@ def text_nodes(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
         if m[1]:
             if name in BLOCK or name in AWAY:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if name in INLINE and stack[k][0] not in INLINE:
-                    break
+            if opened[name]:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k].name == name:
+                        shut(k)
+                        break
+                    if name in INLINE and stack[k].name not in INLINE:
+                        break
             continue
         if name in RAW and not m[3].rstrip().endswith("/"):
             if name in BLOCK:
                 flush()
             close = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-            at = close.end() if close else size
+            at = close.end() if close else size if name in ENDLESS else at
             continue
         if name in BLOCK:
             flush()
             while stack and name in CLOSES.get(_block(stack), ()):
-                _close_block(stack)
+                k = len(stack) - 1
+                while k > 0 and stack[k].name in INLINE:
+                    k -= 1
+                shut(k)
         if name not in VOID and not m[3].endswith("/"):
-            stack.append((name, _away(name, m[3])))
+            outer = stack[-1] if stack else None
+            path = outer.path if outer else 0
+            if name not in INLINE:
+                path = paths.setdefault((path, name), len(paths) + 1)
+            verdict = _verdict(name, m[3])
+            e = Open(name, path, verdict, outer)
+            if name in ("article", "main") and not e.gone:
+                e.article = e.article or path
+                d = e.doubt
+                while not cleared[d]:
+                    cleared[d] = True
+                    d = around[d]
+            if verdict == DOUBTED:
+                around.append(e.doubt)
+                cleared.append(False)
+                e.doubt = len(around) - 1
+            stack.append(e)
+            opened[name] += 1
     flush()
-    return out
 
+    # whether an element or one around it stays doubted; outer ones have smaller numbers
+    doubted = [False]
+    for d in range(1, len(around)):
+        doubted.append(not cleared[d] or doubted[around[d]])
+    nodes = []
+    for path, text, e in out:
+        doubt = doubted[e.doubt] if e else False
+        nodes.append((path, text, not (e and e.gone), doubt, e.article if e else 0, bool(e and e.heading)))
+    said = any(able and not doubt and len(text) >= 25 and SENTENCE.search(text) for _, text, able, doubt, _, _ in nodes)
+    return [(path, text, able and not (doubt and said), article, heading) for path, text, able, doubt, article, heading in nodes]
 
-def _block(stack: list[tuple[str, bool]]) -> str:
-    return next((n for n, _ in reversed(stack) if n not in INLINE), "")
 
-
-def _close_block(stack: list[tuple[str, bool]]) -> None:
-    """End the innermost block and the inline elements open in it."""
-    while stack and stack.pop()[0] in INLINE:
-        pass
+def _block(stack: list[Open]) -> str:
+    return next((e.name for e in reversed(stack) if e.name not in INLINE), "")
 
 
 def _smooth(x: list[float]) -> list[float]:
@@ -139,44 +209,35 @@ def _smooth(x: list[float]) -> list[float]:
 
 def main_text(page: str) -> str:
     """Blocks of the main text, joined by line breaks; empty if there is none."""
-    nodes = [(p, t) for p, t, able in text_nodes(page) if able]
+    nodes = [(p, t, a, h) for p, t, able, a, h in text_nodes(page) if able]
     if not nodes:
         return ""
     count: dict = defaultdict(int)
     length: dict = defaultdict(int)
     marks: dict = defaultdict(int)
-    for path, text in nodes:
+    for path, text, _, _ in nodes:
         count[path] += 1
         length[path] += len(text)
         marks[path] += len(PUNCTUATION.findall(text))
-    by_text = _smooth([length[p] / count[p] for p, _ in nodes])
-    by_marks = _smooth([1 + marks[p] / count[p] for p, _ in nodes])
+    by_text = _smooth([length[p] / count[p] for p, *_ in nodes])
+    by_marks = _smooth([1 + marks[p] / count[p] for p, *_ in nodes])
     fused = [a * b for a, b in zip(by_text, by_marks)]
     best: dict = defaultdict(float)
-    for (path, _), f in zip(nodes, fused):
+    for (path, *_), f in zip(nodes, fused):
         best[path] = max(best[path], f)
     top = max(best.values())
     content = {p for p in best if best[p] >= SHARE * top}
     # the article around the content: its headings and short blocks belong to it
-    inside = [p[: _article(p)] for p in content if _article(p)]
-    keep = [
-        bool(inside) and any(path[: len(a)] == a for a in inside) or not inside and (path in content or _heads(nodes, i, content))
-        for i, (path, _) in enumerate(nodes)
-    ]
-    return "\n".join(t for (_, t), k in zip(nodes, keep) if k)
-
-
-def _article(path: tuple[str, ...]) -> int:
-    """Length of the path down to its outermost article or main element; 0 without one."""
-    return next((k + 1 for k, n in enumerate(path) if n in ("article", "main")), 0)
-
-
-def _heads(nodes: list, i: int, content: set) -> bool:
-    """Whether node i is a heading whose next node that is none is content."""
-    if not any(HEADING.match(n) for n in nodes[i][0]):
-        return False
-    after = next((p for p, _ in nodes[i + 1 :] if not any(HEADING.match(n) for n in p)), None)
-    return after in content
+    inside = {a for p, _, a, _ in nodes if a and p in content}
+    # whether a heading's next node that is none is content
+    heads, after = [False] * len(nodes), None
+    for i in range(len(nodes) - 1, -1, -1):
+        if nodes[i][3]:
+            heads[i] = after in content
+        else:
+            after = nodes[i][0]
+    keep = [a in inside if inside else path in content or heads[i] for i, (path, _, a, _) in enumerate(nodes)]
+    return "\n".join(t for (_, t, _, _), k in zip(nodes, keep) if k)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,8 +251,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Main text of each row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
-    A null or empty page has an empty text.  Other columns are ignored; rows
-    that repeat a page are worked on each for itself.
+    A null or empty page has an empty text.  Other columns are ignored, whatever
+    their names; rows that repeat a page are worked on each for itself.  Paths
+    of equal ratio are kept or dropped together.  Time grows with the length of
+    a page, whatever its depth; a tag or element without an end is read up to
+    the end of its tag, scripts and the like up to the end of the page.
     """
     ids = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", "url", "html").mapInArrow(_extract, f"page_id {ids}, url string, text string, n_chars bigint")
