@@ -250,7 +250,7 @@ def _in_leaves(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Facts of each row (doc_id, size, c1, c2), and the classes of equal sets (k, c1, c2, size, doc_id, comp).
+    """Facts of each row (doc_id, text_hash, size, c1, c2), and the classes of equal sets (k, c1, c2, size, doc_id, comp).
 
     comp is the smallest k that the links of the threshold reach; a class of the
     empty set is none.
@@ -302,7 +302,7 @@ def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
         more = written(_between_leaves(large, members.select("k", "leaf", "elements"), percent), "more-links")
         found = components(links.unionByName(more))
     groups = groups.join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
-    return facts.drop("cells", "text_hash"), groups
+    return facts.drop("cells"), groups
 
 
 def _between_leaves(large: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -344,5 +344,34 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     groups = written(groups.select("c1", "c2", "comp", "doc_id"), "class-components")
     smallest = groups.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = groups.join(smallest, "comp").select("c1", "c2", "component_id")
-    out = facts.join(named, ["c1", "c2"], "left")
+    out = facts.drop("text_hash").join(named, ["c1", "c2"], "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text), one of each component that links make.
+
+    It is the row with the smallest doc_id, null ids last; of rows with that id
+    the one whose text has the smallest hash, so ids may repeat or be null: a row
+    is told by its id and its text, and of rows that are the same in both one
+    stays.  Rows without words stay all.  Columns pass unchanged, but those
+    named _id, _hash, _gone or _again may not be there.
+    """
+    facts, groups = classes(docs, n, percent)
+    groups = written(groups.select("c1", "c2", "comp"), "class-components")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    rows = facts.where("size > 0").groupBy("c1", "c2", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
+    firsts = rows.groupBy("c1", "c2").agg(F.min(place).alias("place")).join(groups, ["c1", "c2"])
+    keep = firsts.groupBy("comp").agg(F.min("place").alias("stays"))
+    named = firsts.join(keep, "comp").select("c1", "c2", "stays")
+    marks = rows.join(named, ["c1", "c2"]).withColumn("gone", ~place.eqNullSafe(F.col("stays"))).where("gone or times > 1")
+    marks = written(marks.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone")), "near-marks")
+
+    here = F.xxhash64(F.coalesce("text", F.lit("")))
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (here == F.col("_hash"))
+    left = docs.join(marks.where("_gone"), same, "left_anti")
+    again = marks.where("not _gone")
+    if again.isEmpty():
+        return left
+    once = left.join(again, same, "left_semi").withColumn("_again", here).dropDuplicates(["doc_id", "_again"]).drop("_again")
+    return left.join(again, same, "left_anti").unionByName(once)
