@@ -17,7 +17,7 @@ SAMPLE = [
     "requeue_on_change", "text_units", "memory_lookup", "coverage", "greedy_chunks", "glossary_match", "terms_import_diff", "qa_report",
     "failure_families", "merge_suggestions", "extract_party", "grid_fields", "text_operation_rows", "log_retention",
     "report_arrival_stream", "load_payloads", "protected_spans", "restore_by_token", "terms_import_batch", "split_text_parts",
-    "structured_tables", "preserve_terms",
+    "structured_tables", "preserve_terms", "layout_blocks", "layout_stock", "layout_survey",
 ]
 NAMES = list(entry.queries()) if os.environ.get("TOURLOG_ALL") else SAMPLE
 
