@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tourlog.functions import scalars as S
@@ -13,7 +14,9 @@ def sample(n=400, seed=5):
     return [(0 if rng.random() < 0.4 else rng.randint(1, 20), rng.randint(0, 300), i) for i in range(n)]
 
 
-def test_number_rows(spark):
+@pytest.mark.parametrize("large", [100_000, 30, 0])
+def test_number_rows(spark, monkeypatch, large):
+    monkeypatch.setattr(ordering, "LARGE", large)
     rows = sample()
     df = spark.createDataFrame(rows, "k int, o int, i int").withColumn("slice", F.floor(F.col("o") / 16))
     got = {(r.k, r.i): r.n for r in ordering.number_rows(df, ["k"], ["slice"], ["o", "i"], "n").collect()}
@@ -90,3 +93,11 @@ def test_messages_are_cut_like_the_joined_text(spark):
     got = {r.record_id: r.error for r in jobs.first_messages(df, "record_id", "m", "n").collect()}
     whole = "; ".join(dict.fromkeys(m for k, _, m in rows if k == "r"))[:500]
     assert got == {"r": whole, "s": "only"}
+
+
+def test_rows_of_small_keys_move_once(spark):
+    df = spark.range(1000).selectExpr("id % 50 as k", "id as o", "if(id % 9 = 0, id, null) as v", "repeat('x', 50) as text")
+    number = ordering.number_rows(df, ["k"], ["o"], ["o"], "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in number and "Join Inner" in number.split("Union")[1] and "Join LeftOuter" in number
+    plan = ordering.carry_forward(df, ["k"], "o", F.col("v"), "last")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
