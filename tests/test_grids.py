@@ -105,3 +105,11 @@ def test_tables_equal_the_walk(spark):
         for r in D.grid_table(cells, spec).collect():
             got.setdefault(r.doc, set()).add(tuple(r[n] for n, _ in spec.headers))
         assert got == {d: rows for d, s in sheets.items() if s and (rows := plain_table(s, spec))}, name
+
+
+def test_labels_are_broadcast_and_not_the_words_of_cells(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(D, "materialise", lambda df, purpose: seen.append(df) or df)
+    cells = spark.createDataFrame([(1, "s", 2, 0, "Event:"), (1, "s", 2, 1, "drill")], "doc int, sheet string, row int, col int, value string")
+    assert [r.value for r in D.grid_fields(cells, {"event": ("Event",)}).collect()] == ["drill"]
+    assert "rightHint=(strategy=broadcast)" in seen[0]._jdf.queryExecution().optimizedPlan().toString()
