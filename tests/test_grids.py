@@ -113,3 +113,16 @@ def test_labels_are_broadcast_and_not_the_words_of_cells(spark, monkeypatch):
     cells = spark.createDataFrame([(1, "s", 2, 0, "Event:"), (1, "s", 2, 1, "drill")], "doc int, sheet string, row int, col int, value string")
     assert [r.value for r in D.grid_fields(cells, {"event": ("Event",)}).collect()] == ["drill"]
     assert "rightHint=(strategy=broadcast)" in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tables_are_read_in_one_walk_that_moves_cells_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(D, "materialise", lambda df, purpose: written.append(purpose) or df)
+    rows = {1: ["Product", "Units", "Qty", "Used"], 2: ["gel", "sx", "4", "1"], 3: ["Bulks", "Qty Start", "Qty Used", "Qty End"], 4: ["fuel", "9", "2", "7"], 5: ["Product", "Units", "Qty Used"], 6: ["Séal", "x", "1"]}
+    cells = spark.createDataFrame([(1, "s", r, c, v) for r, row in rows.items() for c, v in enumerate(row)], CELLS)
+    found = D.grid_tables(cells, {n: D.GRID_TABLES[n] for n in ("mud_products", "bulks")})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.table_name, r.header_row, r.row, *r.texts) for r in found.collect()}
+    # no stop between the headers: each table goes on below the next header, in its own columns
+    assert {("mud_products", 1, 2, "gel", "sx", "4 1"), ("bulks", 3, 4, "fuel", "9", "2", "7"), ("mud_products", 1, 6, "Séal", "x", "1")} <= got
+    assert not written and plan.count("Exchange hashpartitioning") == 1
