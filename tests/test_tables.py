@@ -135,3 +135,15 @@ def test_operation_rows_over_pages_with_own_line_numbers(spark):
     assert [(r.page, r.start_line, r.op_type, r.text) for r in found] == [
         (1, 0, "P", "drill ahead\nmore"), (1, 2, "NPT", "wait\non page two"), (2, 1, "P", "last\nend"),
     ]
+
+
+def test_only_cells_at_places_of_merged_ranges_move(spark):
+    kinds = "doc int, sheet string, row int, col int, value string"
+    cells = [(1, "s", 1, 1, "top"), (1, "s", 1, 2, "old"), (1, "s", 9, 9, "far"), (2, "s", 1, 1, "own"), (2, "s", 2, 2, None), (1, "s", None, 1, "lost")]
+    ranges = spark.createDataFrame([(1, "s", 1, 1, 2, 2), (3, "s", 1, 1, 1, 2)], "doc int, sheet string, r1 int, c1 int, r2 int, c2 int")
+    found = D.merged_fill(spark.createDataFrame(cells, kinds), ranges)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(
+        [(1, "s", 1, 1, "top"), (1, "s", 1, 2, "top"), (1, "s", 2, 1, "top"), (1, "s", 2, 2, "top"), (1, "s", 9, 9, "far"),
+         (2, "s", 1, 1, "own"), (2, "s", 2, 2, None), (1, "s", None, 1, "lost")], key=repr)
+    assert "LeftAnti" in plan and "LeftSemi" in plan
