@@ -29,3 +29,15 @@ def test_stream_over_a_folder_of_parts(spark, tmp_path):
     spark.range(10).repartition(2).write.parquet(str(tmp_path / "t.parquet"))
     stream = jobs.parquet_stream(spark, str(tmp_path), "t.parquet", spark.range(1).schema)
     assert jobs.run_to_table(stream, "append", "parts").select(F.sum("id")).first()[0] == 45
+
+
+def test_report_lines_are_written_packed(spark, tmp_path, monkeypatch):
+    from tourlog.plans import event_queries
+    from tourlog.plans.registry import QUERIES, Inputs
+
+    monkeypatch.setattr(event_queries, "shared_dir", lambda session, purpose: str(tmp_path / purpose))
+    monkeypatch.setattr(event_queries, "REPORTS_PER_FILE", 500, raising=False)
+    rows = QUERIES["json_lines_source"](Inputs(spark, "/root/testdata/sf0.001"))
+    files = [f.name for f in (tmp_path / "reports").glob("part-*")]
+    assert len(files) >= 3 and all(f.endswith(".gz") for f in files)
+    assert rows.select("record_id").distinct().count() > 1000

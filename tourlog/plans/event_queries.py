@@ -495,6 +495,9 @@ def structured_tables(i):
     return reduce(DataFrame.unionByName, parts)
 
 
+REPORTS_PER_FILE = 10_000
+
+
 @query(
     "json_lines_source",
     "select record_id, case when l_suppkey % 4 = 3 then 'bulks' else 'operations' end as module_name, row_no, operation_details from operations "
@@ -504,7 +507,9 @@ def structured_tables(i):
 def json_lines_source(i):
     """Files with a report per line, some of them cut short: every whole report comes back."""
     path = shared_dir(i.spark, "reports")
-    _report_texts(i).select(F.col("text").alias("value")).write.text(path)
+    # packed files are not split: bounded ones keep all cores busy
+    texts = _report_texts(i).select(F.col("text").alias("value"))
+    texts.write.option("compression", "gzip").option("maxRecordsPerFile", REPORTS_PER_FILE).text(path)
     payloads = PL.read_payload_files(i.spark, path, lines=True).filter(F.try_element_at("metadata", F.lit("record_id")).isNotNull())
     _, _, rows = PL.shred(payloads)
     return rows.select("record_id", "module_name", "row_no", F.col("row")["operation_details"].alias("operation_details"))
