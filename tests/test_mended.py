@@ -41,3 +41,24 @@ def test_report_lines_are_written_packed(spark, tmp_path, monkeypatch):
     files = [f.name for f in (tmp_path / "reports").glob("part-*")]
     assert len(files) >= 3 and all(f.endswith(".gz") for f in files)
     assert rows.select("record_id").distinct().count() > 1000
+
+
+def test_failures_read_no_text_twice(spark):
+    """Spark's filter for an exploded list would read every error once more; families are hashed, not failures."""
+    from tourlog.operators import failures
+
+    rows = spark.createDataFrame(
+        [("R1", 1, "drilling", "f", "s", "protected term; MISSING=['ROP', 'A|C']"), ("r1", 2, "drilling", "f", "s", "unit lost; missing=[]"), ("R2", 3, "move", "f", "s", None)],
+        "record_id string, row_no int, report_type string, field_code string, source_text string, error_message string",
+    )
+    known = spark.createDataFrame([("acronym", "rop")], "kind string, value string")
+    issues = failures.classify(rows, known)
+    plan = issues._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(error_message") == 1 and "RLIKE" not in plan
+    got = sorted((r.record_id, r.category, r.token) for r in issues.collect())
+    assert got == [
+        ("R1", "missing_protected_acronym", "A|C"), ("R1", "protected_term_regression", "ROP"),
+        ("R2", "semantic_or_completeness", ""), ("r1", "semantic_or_completeness", ""),
+    ]
+    plan = failures.evidence(issues)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("sha2(") < plan.index("Window ")
