@@ -62,3 +62,18 @@ def test_failures_read_no_text_twice(spark):
     ]
     plan = failures.evidence(issues)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("sha2(") < plan.index("Window ")
+
+
+def test_suggestions_are_verified_from_one_reading_of_the_pool(spark, tmp_path):
+    from tourlog.operators import failures
+
+    rows = [("f1", "APPLIED", ["a", "b", ""]), ("f2", "APPLIED", ["a", "c"]), ("f3", "APPLIED", ["b"]), ("f4", "APPLIED", None), ("f5", "QUEUED", ["a"]), ("f6", "APPLIED", ["x"])]
+    spark.createDataFrame(rows, "fingerprint string, status string, record_ids array<string>").write.parquet(str(tmp_path / "pool"))
+    pool = spark.read.parquet(str(tmp_path / "pool"))
+    states = spark.createDataFrame([("a", "COMPLETED"), ("b", "COMPLETED"), ("c", "PENDING"), ("f4", "COMPLETED")], "record_id string, status string")
+    done = spark.createDataFrame([("a",), ("f4",)], "record_id string")
+    out = failures.verify_suggestions(pool, states, done, "now")
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert out.columns == [*pool.columns, "verified_record_id", "verified_at"]
+    got = {r.fingerprint: (r.status, r.record_ids, r.verified_record_id, r.verified_at) for r in out.collect()}
+    assert got == {k: (("VERIFIED" if k == "f1" else s), ids, "a" if k == "f1" else "", "now" if k == "f1" else "") for k, s, ids in rows}
