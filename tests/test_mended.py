@@ -77,3 +77,22 @@ def test_suggestions_are_verified_from_one_reading_of_the_pool(spark, tmp_path):
     assert out.columns == [*pool.columns, "verified_record_id", "verified_at"]
     got = {r.fingerprint: (r.status, r.record_ids, r.verified_record_id, r.verified_at) for r in out.collect()}
     assert got == {k: (("VERIFIED" if k == "f1" else s), ids, "a" if k == "f1" else "", "now" if k == "f1" else "") for k, s, ids in rows}
+
+
+def test_pairs_of_many_partitions_are_cut_into_short_tasks(spark):
+    from tourlog.plans import language_queries  # noqa: F401
+    from tourlog.plans.registry import VIEWS, Inputs
+
+    names = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "0"}
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in names.items():
+            spark.conf.set(n, v)
+        inputs = Inputs(spark, "/root/testdata/sf0.001")
+        given = inputs.t("orders").select("o_orderkey", "o_custkey", "o_orderpriority").rdd.getNumPartitions()
+        pairs = VIEWS["pairs"](inputs)
+        assert given >= 4 and pairs.rdd.getNumPartitions() >= 8 * given
+        assert pairs.count() == inputs.t("orders").count()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
