@@ -429,3 +429,17 @@ def test_components(spark):
     links = [(k, k + 1) for k in range(1, 40)] + [(100, 50), (60, 50), (7, 7)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 1 for k in range(1, 41)}, 50: 50, 60: 50, 100: 50}
+
+
+def test_lm_expected_counts_and_codes():
+    """Sums of predictions by bucket are those of the tokens one by one, in double precision."""
+    rng = np.random.default_rng(5)
+    at = np.concatenate([np.zeros((3, 40_000), np.int64), rng.integers(0, lm.BUCKETS, (3, 2_000))], axis=1)
+    p = rng.random((at.shape[1], lm.CLASSES), dtype=np.float32)
+    want, got = np.zeros((lm.BUCKETS, lm.CLASSES)), np.zeros((lm.CLASSES, lm.BUCKETS))
+    for f in at:
+        np.add.at(want, f, p.astype(np.float64))
+    lm.add_expected(p, at, got)
+    assert got.T == pytest.approx(want, rel=1e-12)
+    model = lm.Model([(b"ra", 5), (b"to", 5)], [(b"ra", 5.5), (b"to", 5.5)], 10, 2)
+    assert (model.coded([b"to", b"xx", b"ra"]) == [1, -1 - zlib.crc32(b"xx"), 0]).all()
