@@ -116,28 +116,34 @@ def cells(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Facts of each text: id, size, class key, and cells of the first text of a class in the task."""
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Facts of each text: id, hash, size of its set and class key."""
     table = WordHashes()
-    seen: set[tuple[int, int]] = set()
     for b in pieces(batches):
-        size, one, two, keys = [], [], [], []
-        for text in contents(b.column(1)):
-            s = shingles(text, n, table)
-            size.append(len(s))
-            c1, c2 = class_key(s)
-            one.append(c1)
-            two.append(c2)
-            fresh = len(s) > 0 and (c1, c2) not in seen
-            if fresh:
-                seen.add((c1, c2))
-            keys.append(cells(s, percent).view(np.int64) if fresh else None)
+        sets = [shingles(text, n, table) for text in contents(b.column(1))]
+        keys = [class_key(s) for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "text_hash", "size", "c1", "c2", "cells"],
+            [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64())],
+            ["doc_id", "text_hash", "size", "c1", "c2"],
         )
 
 
+def _cells(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Cells of texts: class key and keys of the cells, once for each class in the task."""
+    table = WordHashes()
+    seen: set[tuple[int, int]] = set()
+    for b in pieces(batches):
+        one, keys = [], []
+        for text in contents(b.column(0)):
+            s = shingles(text, n, table)
+            key = class_key(s)
+            if len(s) and key not in seen:
+                seen.add(key)
+                one.append(key[0])
+                keys.append(cells(s, percent).view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["c1", "cells"])
+
+
 def class_key(s: np.ndarray) -> tuple[int, int]:
     """128 bits that tell a set."""
     size = np.uint64(len(s))
@@ -146,13 +152,12 @@ def class_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def _wanted(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Rows (text, c1, c2, facts of the point): the facts and the set as bytes, if the text is of that class."""
+    """Rows (text, c1, c2, facts of the point): the facts and the text, if it is of that class."""
     table = WordHashes()
     for b in pieces(batches):
         sets = [shingles(t, n, table) for t in contents(b.column(0))]
         right = [class_key(s) == key for s, key in zip(sets, zip(b.column(1).to_pylist(), b.column(2).to_pylist()))]
-        facts = [b.column(c) for c in range(3, b.num_columns)]
-        out = pa.RecordBatch.from_arrays([*facts, pa.array([s.tobytes() for s in sets], pa.binary())], [*b.schema.names[3:], "elements"])
+        out = pa.RecordBatch.from_arrays([b.column(c) for c in (*range(3, b.num_columns), 0)], [*b.schema.names[3:], "text"])
         yield out.filter(pa.array(right, pa.bool_()))
 
 
@@ -209,44 +214,46 @@ def leaf_links(sets: list[np.ndarray], side: np.ndarray, comp: np.ndarray, perce
     return out
 
 
-def _leaves(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (leaf, k, comp, side, elements) sorted by leaf: links of each leaf."""
+def _leaves(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (leaf, k, comp, side, text) sorted by leaf: links of each leaf."""
+    table = WordHashes()
     rows: list = []
     leaf = None
 
     def links() -> pa.RecordBatch:
-        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+        sets = [r[3] for r in rows]
         found = leaf_links(sets, np.array([r[2] for r in rows]), np.array([r[1] for r in rows]), percent)
         k = [r[0] for r in rows]
         return pa.RecordBatch.from_arrays([pa.array([k[i] for i, _ in found], pa.int64()), pa.array([k[j] for _, j in found], pa.int64())], ["a", "b"])
 
-    for b in batches:
+    for b in pieces(batches):
         leaf_col = b.column(0).to_pylist()
-        rest = list(zip(*(b.column(c).to_pylist() for c in range(1, 5))))
-        for at, row in zip(leaf_col, rest):
+        rest = zip(*(b.column(c).to_pylist() for c in range(1, 4)), contents(b.column(4)))
+        for at, (k, comp, side, text) in zip(leaf_col, rest):
             if at != leaf:
                 if len(rows) > 1:
                     yield links()
                 rows, leaf = [], at
-            if not rows or rows[-1][0] != row[0]:
-                rows.append(row)
+            if not rows or rows[-1][0] != k:
+                rows.append((k, comp, side, shingles(text, n, table)))
     if len(rows) > 1:
         yield links()
 
 
-def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (leaf, elements): one box for each leaf in a batch, combined later."""
-    for b in batches:
+def _boxes(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Rows (leaf, text): one box for each leaf in a batch, combined later."""
+    table = WordHashes()
+    for b in pieces(batches):
         leaf = np.array(b.column(0).to_pylist(), dtype=object)
-        points = _points([np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]) if b.num_rows else None
+        points = _points([shingles(x, n, table) for x in contents(b.column(1))]) if b.num_rows else None
         for at in dict.fromkeys(leaf):
             yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([points[leaf == at].max(0)], pa.list_(pa.int64()))], ["leaf", "top"])
 
 
-def _in_leaves(rows: DataFrame, percent: int) -> DataFrame:
-    """Links of rows (leaf, k, comp, side, elements)."""
-    near = rows.select("leaf", "k", "comp", "side", "elements").repartition("leaf").sortWithinPartitions("leaf", "k")
-    return near.mapInArrow(partial(_leaves, percent=percent), "a long, b long")
+def _in_leaves(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links of rows (leaf, k, comp, side, text); texts move, as their sets are larger and do not compress."""
+    near = rows.select("leaf", "k", "comp", "side", "text").repartition("leaf").sortWithinPartitions("leaf", "k")
+    return near.mapInArrow(partial(_leaves, n=n, percent=percent), "a long, b long")
 
 
 def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -256,14 +263,13 @@ def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     empty set is none.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    facts = written(texts.mapInArrow(
-        partial(_sets, n=n, percent=percent), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, size long, c1 long, c2 long, cells array<long>"
-    ), "sets")
+    facts = written(texts.mapInArrow(partial(_sets, n=n), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, size long, c1 long, c2 long"), "sets")
     one_text = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("text_hash")
     groups = facts.where("size > 0").groupBy("c1", "c2").agg(F.min("size").alias("size"), F.min("doc_id").alias("doc_id"), one_text)
     groups = written(groups.withColumn("k", F.monotonically_increasing_id()), "classes")
 
-    rows = facts.where("cells is not null").select(F.explode("cells").alias("cell"), "c1")
+    # cells are more than the texts they are of: they are made once more rather than kept
+    rows = texts.select("text").mapInArrow(partial(_cells, n=n, percent=percent), "c1 long, cells array<long>").select(F.explode("cells").alias("cell"), "c1")
     stars = rows.repartition("cell").sortWithinPartitions("cell", "c1").mapInArrow(_stars, "a long, b long").distinct()
     families = components(written(stars, "stars"))
 
@@ -280,17 +286,17 @@ def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     kept = ["k", "size", "family", "bin", "part", "leaf", "large"]
     wanted = near.select("c1", "c2", *kept, F.col("doc_id").alias("want"), F.col("text_hash").alias("want_hash"))
     sought = likely(texts, near, "doc_id", "text_hash").join(wanted, F.col("text_hash").eqNullSafe(F.col("want_hash")) & F.col("doc_id").eqNullSafe(F.col("want")))
-    shape = "k long, size long, family long, bin int, part int, leaf string, large boolean, elements binary"
+    shape = "k long, size long, family long, bin int, part int, leaf string, large boolean, text string"
     members = written(sought.select("text", "c1", "c2", *kept).mapInArrow(partial(_wanted, n=n), shape), "members")
 
     # each leaf in itself, and with the next one of its family as guests
     chain = Window.partitionBy("family").orderBy("bin", "part")
     before = bins.select("family", "bin", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     before = before.withColumn("before", F.lag(F.struct("bin", "part")).over(chain)).where("before is not null")
-    rows = members.select("leaf", "k", F.col("k").alias("comp"), F.lit(0).alias("side"), "elements")
+    rows = members.select("leaf", "k", F.col("k").alias("comp"), F.lit(0).alias("side"), "text")
     guests = members.where("large").drop("leaf").join(before, ["family", "bin", "part"])
-    guests = guests.select(leaf(F.col("family"), F.col("before.bin"), F.col("before.part")).alias("leaf"), "k", F.col("k").alias("comp"), F.lit(1).alias("side"), "elements")
-    links = written(_in_leaves(rows.unionByName(guests), percent), "leaf-links")
+    guests = guests.select(leaf(F.col("family"), F.col("before.bin"), F.col("before.part")).alias("leaf"), "k", F.col("k").alias("comp"), F.lit(1).alias("side"), "text")
+    links = written(_in_leaves(rows.unionByName(guests), n, percent), "leaf-links")
     found = components(links)
 
     # what is left of large families: pairs of leaves whose boxes allow a link between two components
@@ -299,15 +305,15 @@ def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     torn = large.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("family")
     large = written(large.join(torn, "family", "left_semi"), "torn")
     if not large.isEmpty():
-        more = written(_between_leaves(large, members.select("k", "leaf", "elements"), percent), "more-links")
+        more = written(_between_leaves(large, members.select("k", "leaf", "text"), n, percent), "more-links")
         found = components(links.unionByName(more))
     groups = groups.join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
-    return facts.drop("cells"), groups
+    return facts, groups
 
 
-def _between_leaves(large: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links between components in rows (k, size, family, bin, leaf, comp); members have (k, leaf, elements)."""
-    tops = members.join(large.select("leaf").distinct(), "leaf", "left_semi").select("leaf", "elements").mapInArrow(_boxes, "leaf string, top array<long>")
+def _between_leaves(large: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between components in rows (k, size, family, bin, leaf, comp); members have (k, leaf, text)."""
+    tops = members.join(large.select("leaf").distinct(), "leaf", "left_semi").select("leaf", "text").mapInArrow(partial(_boxes, n=n), "leaf string, top array<long>")
     tops = tops.select("leaf", F.posexplode("top")).groupBy("leaf", "pos").agg(F.max("col").alias("top"))
     tops = tops.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "top"))), lambda x: x["top"]).alias("top"))
     facts = large.groupBy("leaf").agg(
@@ -327,7 +333,7 @@ def _between_leaves(large: DataFrame, members: DataFrame, percent: int) -> DataF
     one = pairs.select(name.alias("pair"), F.col("a_leaf").alias("leaf"), F.lit(0).alias("side"))
     two = pairs.where("a_leaf <> leaf").select(name.alias("pair"), "leaf", F.lit(1).alias("side"))
     sides = large.select("leaf", "k", "comp").join(one.unionByName(two), "leaf").drop("leaf").withColumnRenamed("pair", "leaf")
-    return _in_leaves(sides.join(members.select("k", "elements"), "k"), percent)
+    return _in_leaves(sides.join(members.select("k", "text"), "k"), n, percent)
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:

@@ -150,10 +150,12 @@ def mix(docs: DataFrame, weights: DataFrame, source: str = "source", block_rows:
     slots = _write_schedule(spark, whole, blocks)
 
     firsts = firsts.join(F.broadcast(numbers), F.col("src").eqNullSafe(F.col("of_source")), "left").drop("of_source", "n")
+    # places are found without the texts, which then meet them once
     place = Window.partitionBy(source, "mix_salt").orderBy(F.xxhash64(F.lit(seed), "mix_rid"), "mix_rid")
-    at = rows.select("*", F.row_number().over(place).alias("mix_row"))
+    at = rows.select(source, "mix_salt", "mix_rid", F.row_number().over(place).alias("mix_row"))
     at = at.join(firsts, at[source].eqNullSafe(firsts["src"]) & (at["mix_salt"] == firsts["salt"]))
     at = at.withColumn("mix_row", F.col("first") + F.col("mix_row") - 1)
     at = at.withColumns({"mix_block": F.floor(F.col("mix_row") / block_rows), "mix_at": (F.col("mix_row") % block_rows).cast("int")})
-    out = at.join(slots, ["mix_source", "mix_block"], "left")
+    at = at.join(slots, ["mix_source", "mix_block"], "left").select("mix_rid", "mix_block", "mix_slot", "mix_at")
+    out = rows.join(at, "mix_rid")
     return out.select(*names, "mix_block", "mix_slot", "mix_at", F.coalesce(F.col("mix_slot") < F.lit(end).cast("long"), F.lit(False)).alias("in_mix"))
